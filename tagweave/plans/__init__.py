@@ -1,0 +1 @@
+"""Composed plans: the query catalog and its SQL twins."""
