@@ -439,6 +439,47 @@ def q_dedup_full(spark, sf):
     return ND.dedup_full(d, "doc_id", "text", ("doc_id",)).select("doc_id")
 
 
+# ---------------------------------------------------------------- scoring, tagger, stream
+
+def q_score_batch(spark, sf):
+    """M6 + M5: score every document with the stand-in model, tag by rank thresholds."""
+    from ..streaming.scoring import hashed_linear_scorer
+    from ..streaming.stream import tag_frame
+    d = spark.read.parquet(os.path.join(sf, "documents.parquet")).select("doc_id", "text")
+    t = tag_frame(d, hashed_linear_scorer())
+    return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
+
+
+def q_fit_tagger(spark, sf):
+    """M7: fit on the labelled documents, score them, tag them (rows-only check)."""
+    from ..streaming.tagger import fit_tagger
+    df = AD.two_label(spark, sf)
+    labels = ["quality", "toxic"]
+    model = fit_tagger(df, "text", "tags", labels, num_features=1 << 14, max_iter=10)
+    scored = model.transform(df, "text", "doc_id")
+    tagged = RK.rank_threshold_tags(scored, "scores", "tags", thresholds=[0.5, 0.5])
+    return tagged.select("doc_id", _j(F.transform("tags", lambda i: F.element_at(
+        F.array(*[F.lit(x) for x in labels]), i + 1))).alias("tags"))
+
+
+def q_stream_tag(spark, sf):
+    """The tagging stream over the documents file, run to completion."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.scoring import hashed_linear_scorer
+    from ..streaming.stream import run_stream
+    base = ensure_checkpoint_dir(spark)
+    run_id = uuid.uuid4().hex
+    sink = f"{base.rstrip('/')}/stream-tag-{run_id}/out"
+    ckpt = f"{base.rstrip('/')}/stream-tag-{run_id}/ckpt"
+    schema = spark.read.parquet(os.path.join(sf, "documents.parquet")).schema
+    run_stream(spark, sf, schema, sink, hashed_linear_scorer(), checkpoint_path=ckpt,
+               glob="documents.parquet")
+    t = spark.read.parquet(sink)
+    return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
+
+
 QUERIES = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
