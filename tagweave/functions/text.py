@@ -11,10 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LSTRIP_CHARS, MIN_CHAR_LEN, TEXT_RULES, WS_CLASS
+from ..constants import LSTRIP_CHARS, MIN_CHAR_LEN, TEXT_RULES
 
-_EDGE_WS = f"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
-_RUN_WS = f"[{WS_CLASS}]+"
+# Python's str.isspace() set as literal characters, for btrim (which strips
+# any character of the set from both ends: Python strip() semantics).
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# Java's Unicode \s is the White_Space property; Python also counts U+001C-1F.
+_RUN_WS = r"(?U)[\s\x{1C}-\x{1F}]+"
 
 
 def _col(c: str | Column) -> Column:
@@ -22,8 +25,12 @@ def _col(c: str | Column) -> Column:
 
 
 def unicode_strip(c: str | Column) -> Column:
-    """Strip Unicode whitespace from both ends (Python ``str.strip()``)."""
-    return F.regexp_replace(_col(c), _EDGE_WS, "")
+    """Strip Unicode whitespace from both ends (Python ``str.strip()``).
+
+    ``btrim`` with the character set only touches the two ends, where an
+    end-anchored regex would test every whitespace run of a long text.
+    """
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def normal_form(c: str | Column) -> Column:
@@ -39,7 +46,16 @@ def not_in_list(c: str | Column, phrases: list[str]) -> Column:
     """
     if not phrases:
         return F.lit(True)
-    return ~F.coalesce(normal_form(c).isin(phrases), F.lit(False))
+    return ~F.coalesce(_listed(_col(c), phrases), F.lit(False))
+
+
+def _listed(c: Column, phrases: list[str]) -> Column:
+    """Normal form in ``phrases``; texts longer than every phrase are never
+    lower-cased (CASE evaluates lazily), so long documents cost one trim."""
+    s = unicode_strip(c)
+    longest = max(len(p) for p in phrases)
+    return F.when(F.length(s) <= F.lit(longest), F.lower(s).isin(phrases)).otherwise(
+        F.when(s.isNotNull(), F.lit(False)))
 
 
 def blank_listed(c: str | Column, phrases: list[str]) -> Column:
@@ -47,15 +63,17 @@ def blank_listed(c: str | Column, phrases: list[str]) -> Column:
     filled = F.coalesce(_col(c), F.lit(""))
     if not phrases:
         return filled
-    return F.when(normal_form(filled).isin(phrases), F.lit("")).otherwise(filled)
+    return F.when(_listed(filled, phrases), F.lit("")).otherwise(filled)
 
 
 def no_listed_prefix(c: str | Column, prefixes: list[str]) -> Column:
     """true unless the lower-cased (unstripped) text starts with a prefix."""
     if not prefixes:
         return F.lit(True)
-    low = F.lower(_col(c))
-    return ~reduce(lambda a, b: a | b, [low.startswith(p) for p in prefixes])
+    # Only the head can match: lower-case a bounded prefix, not the document
+    # (16 extra characters keep context-dependent lower-casing exact).
+    head = F.lower(F.substring(_col(c), 1, max(len(p) for p in prefixes) + 16))
+    return ~reduce(lambda a, b: a | b, [head.startswith(p) for p in prefixes])
 
 
 def strip_boilerplate(c: str | Column, patterns: list[str], word_boundary: bool = False,

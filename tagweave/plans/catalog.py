@@ -25,6 +25,7 @@ from ..operators import ranking as RK
 from ..operators import split as SP
 from ..sources import adapters as AD
 from ..sources import readers as RD
+from ..session import read_table
 
 DEMO_FUNDER = "src3"
 DOWNSAMPLE_TARGET = ["4.2"]
@@ -42,7 +43,7 @@ def _r(c, n: int = 9) -> F.Column:
 # ---------------------------------------------------------------- text
 
 def q_clean_ws(spark, sf):
-    d = spark.read.parquet(os.path.join(sf, "documents.parquet"))
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
     return d.select("doc_id", TX.collapse_ws("text").alias("text_ws"))
 
 
@@ -358,7 +359,7 @@ def q_metrics_subgroup(spark, sf):
 
 def eval_truth(spark, sf) -> DataFrame:
     """True labels of the score rows: ``label`` and, on even ids, ``label + 10``."""
-    e = spark.read.parquet(os.path.join(sf, "embeddings.parquet"))
+    e = read_table(spark, sf, "embeddings", ["vec_id", "label"])
     idx = F.array_compact(F.array(F.col("label"), F.when(F.col("vec_id") % 2 == 0, F.col("label") + 10)))
     codes = F.array(*[F.lit(n.split(":")[0]) for n in LABELS_LONG])
     return e.select(F.col("vec_id").alias("row_id"), F.explode(idx).alias("i")).select(
@@ -415,14 +416,14 @@ def q_split_categories(spark, sf):
 # ---------------------------------------------------------------- near duplicates
 
 def _distinct_texts(spark, sf) -> DataFrame:
-    d = spark.read.parquet(os.path.join(sf, "documents.parquet")).select("doc_id", "text")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
     return DD.dedup_exact(d, "text", ["doc_id"])
 
 
 def q_minhash_signature(spark, sf):
     s = ND.signatures(_distinct_texts(spark, sf), "doc_id", "text")
     return s.select(F.col("id").alias("doc_id"), F.size("sig").alias("n_minima"),
-                    F.size("sh").alias("n_shingles"))
+                    F.array_min("sig").alias("min_hash"))
 
 
 def q_near_dup_pairs(spark, sf):
@@ -435,7 +436,7 @@ def q_near_dup_keep(spark, sf):
 
 
 def q_dedup_full(spark, sf):
-    d = spark.read.parquet(os.path.join(sf, "documents.parquet")).select("doc_id", "text")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
     return ND.dedup_full(d, "doc_id", "text", ("doc_id",)).select("doc_id")
 
 
@@ -445,7 +446,7 @@ def q_score_batch(spark, sf):
     """M6 + M5: score every document with the stand-in model, tag by rank thresholds."""
     from ..streaming.scoring import hashed_linear_scorer
     from ..streaming.stream import tag_frame
-    d = spark.read.parquet(os.path.join(sf, "documents.parquet")).select("doc_id", "text")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
     t = tag_frame(d, hashed_linear_scorer())
     return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -55,6 +58,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tagweave`` importable in Python workers (once per application).
+
+    Pandas UDFs defined here are pickled by reference, so workers must be
+    able to import the package wherever the driver was started from; the
+    zipped package is distributed with ``addPyFile`` like any library.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tagweave-py-")
+    zpath = shutil.make_archive(os.path.join(out, "tagweave"), "zip",
+                                root_dir=os.path.dirname(pkg_dir), base_dir="tagweave")
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local one."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -65,5 +90,49 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+_SPREAD: dict[tuple, DataFrame] = {}
+
+
+def spread_small_input(df: DataFrame, key: tuple | None = None, min_bytes: int = 4 << 20,
+                       max_bytes: int = 8 << 30) -> DataFrame:
+    """Spread a table that arrives as fewer files than task slots.
+
+    A single large parquet row group is read by one task however the scan
+    is split, so per-row work (regexes over long texts) would run on one
+    core.  A plain ``repartition`` does not help: Catalyst pushes downstream
+    filters (with their expressions) below the exchange, back into the one
+    scan task.  The spread copy is therefore cut with a reliable
+    ``checkpoint()`` and reused per (path, columns) within the session.
+
+    It only fires for local files below ``max_bytes`` in fewer files than the
+    default parallelism; a 100 TB table in thousands of files is returned
+    untouched.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    try:
+        size = sum(os.path.getsize(urlparse(f).path) for f in files)
+    except OSError:
+        return df
+    if size < min_bytes or size > max_bytes:
+        return df
+    k = (spark.sparkContext.applicationId, key)
+    if key is not None and k in _SPREAD:
+        return _SPREAD[k]
+    out = cut_lineage(df.repartition(par))
+    if key is not None:
+        _SPREAD[k] = out
+    return out
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               columns: list[str] | None = None) -> DataFrame:
+    """Read one driver table (only ``columns`` when given), spread if small."""
+    path = table_path(sf_dir, name)
+    df = spark.read.parquet(path)
+    if columns:
+        df = df.select(*columns)
+    return spread_small_input(df, key=(path, tuple(columns or ())))

@@ -23,6 +23,7 @@ from ..functions.scores import sigmoid
 from ..session import read_table
 
 NL = "\n"
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
 
 # Raw health-category spellings used to fill the demo sheets (ours).  They
 # include case/space variants so the rename step has work to do.
@@ -34,7 +35,7 @@ DEMO_HC_RAW = [
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Award-like records from ``documents`` (one row per document)."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
     pos = F.instr("text", NL)
     return d.select(
         "doc_id",
@@ -65,7 +66,7 @@ def hc_raw() -> Column:
 
 def line_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order, the line codes in line-number order (one shuffle on l_orderkey)."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", LINE_COLS)
     per_line = li.select(
         F.col("l_orderkey").alias("row_id"),
         # Line numbers repeat within an order in this data, so the sort key
@@ -81,7 +82,7 @@ def line_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (row_id, label) straight from ``lineitem``; duplicates kept."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", LINE_COLS)
     return li.select(F.col("l_orderkey").alias("row_id"), code8().alias("label"))
 
 
@@ -92,7 +93,7 @@ def truth_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted labels: codes of lines 1-3, plus a rotated code on every 5th order."""
-    li = read_table(spark, sf_dir, "lineitem")
+    li = read_table(spark, sf_dir, "lineitem", LINE_COLS)
     first3 = li.filter(F.col("l_linenumber") <= 3).select(
         F.col("l_orderkey").alias("row_id"), code8().alias("label"))
     rotated = li.filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0)).select(
@@ -104,7 +105,7 @@ def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row metadata: funder = subgroup name for urgent orders, else the priority."""
-    o = read_table(spark, sf_dir, "orders")
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
     return o.select(
         F.col("o_orderkey").alias("row_id"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(SUBGROUP_FUNDER))
@@ -114,7 +115,7 @@ def eval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores_wide(spark: SparkSession, sf_dir: str, n_labels: int = 48,
                 tie_round: int | None = None) -> DataFrame:
     """48 scores per row: sigmoid(20*x - vec_id % 8) over the first 48 floats."""
-    e = read_table(spark, sf_dir, "embeddings")
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     shift = (F.col("vec_id") % 8).cast("double")
     logits = F.transform(F.slice("embedding", 1, n_labels),
                          lambda x: F.lit(20.0) * x.cast("double") - shift)
@@ -132,7 +133,7 @@ def scores_long(spark: SparkSession, sf_dir: str, n_labels: int = 48) -> DataFra
 def two_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents ⋈ labels -> (doc_id, text, tags) with tags quality / toxic."""
     lab = read_table(spark, sf_dir, "labels")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     tags = F.array_compact(F.array(
         F.when(F.col("quality") == 1, F.lit("quality")),
         F.when(F.col("toxic") == 1, F.lit("toxic"))))

@@ -52,6 +52,8 @@ def hashed_linear_scorer(n_labels: int = 48, dim: int = 4096, seed: int = 7) ->
 def score_texts(df: DataFrame, text_col: str, scorer_factory: ScorerFactory, n_labels: int,
                 keep: list[str] = ("doc_id",), out_col: str = "logits") -> DataFrame:
     """M6: ``keep`` columns + an ``array<double>`` of logits per row."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     keep = list(keep)
     in_schema = df.select(*keep, text_col).schema
     out_schema = T.StructType([in_schema[c] for c in keep] +
