@@ -15,6 +15,7 @@ is thus ranked by thousands of tasks.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -34,13 +35,14 @@ def hash_order(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def rank_in_groups(df: DataFrame, group_col: str, order_col: str, id_col: str) -> DataFrame:
+def rank_in_groups(df: DataFrame, group_col: str, order_col: str, id_col: str,
+                   prefix_len: int = SUB_BUCKET_HEX) -> DataFrame:
     """Exact 1-based rank of each row in ``group_col`` by (order_col, id).
 
     ``order_col`` is a hex digest: its prefix defines sub-buckets whose
     sizes are counted first, so no group is ever sorted by a single task.
     """
-    d = df.withColumn("_sb", F.substring(order_col, 1, SUB_BUCKET_HEX))
+    d = df.withColumn("_sb", F.substring(order_col, 1, prefix_len))
     sizes = d.groupBy(group_col, "_sb").agg(F.count(F.lit(1)).alias("_n"))
     w_off = (Window.partitionBy(group_col).orderBy("_sb")
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -114,3 +116,99 @@ def split_categories(df: DataFrame, categories: list[str], id_col: str = "row_id
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One write, partitioned by (category, split); row id kept."""
     df.write.mode(mode).partitionBy("category", "split").parquet(path)
+
+
+NEED_LEVELS = 10_000
+
+
+def split_iterative(df: DataFrame, labels_col: str, id_col: str = "row_id",
+                    test_share: float = TEST_SHARE, seed: int = 10,
+                    max_rounds: int | None = None) -> DataFrame:
+    """M1 (iterative stratification, need-first): (id, split) for every row
+    with a non-null label list.
+
+    Round r takes the label with the fewest unassigned rows (ties by label)
+    and sends ``round(test demand)`` of its unassigned rows to test and the
+    rest to train.  Test rows are those whose labels most need test rows
+    (mean remaining test share of their labels), ties by md5(id | seed).
+    Every round assigns *all* unassigned rows of its label, so after labels
+    P are done the unassigned rows are exactly those with no label in P: no
+    assignment table, anti-join or growing union is needed.
+
+    The top-k needs no global sort: a histogram of the quantised need (at
+    most ``NEED_LEVELS`` rows, collected) gives the cut level and only rows
+    at that level are ranked, by md5 sub-buckets.  Driver state is the
+    per-label demand and remaining-count tables (one entry per label); each
+    round runs two small jobs over the checkpointed row table, and the
+    number of rounds is bounded by the label universe.  Rows without labels
+    are placed last to balance the overall share.
+    """
+    from ..session import cut_lineage
+
+    rows = df.filter(F.col(labels_col).isNotNull())
+    rows = cut_lineage(rows.select(id_col, F.array_distinct(labels_col).alias("_labs"),
+                                   hash_order(id_col, seed).alias("_h")))
+    stats = rows.select(F.explode("_labs").alias("label")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n")).collect()
+    totals = {r["label"]: r["n"] for r in stats}
+    n_rows = rows.count()
+    want_test = {lab: test_share * n for lab, n in totals.items()}
+    want_train = {lab: (1 - test_share) * n for lab, n in totals.items()}
+    remaining = dict(totals)
+    want_all_test = test_share * n_rows
+    done: list[str] = []
+    parts: list[DataFrame] = []
+    limit = max_rounds or (len(totals) + 1)
+    while any(v > 0 for v in remaining.values()):
+        if len(done) >= limit:
+            raise RuntimeError(f"iterative split did not finish in {limit} rounds")
+        lab = min((x for x in remaining if remaining[x] > 0), key=lambda x: (remaining[x], x))
+        k = int(min(max(math.floor(want_test[lab] + 0.5), 0), remaining[lab]))
+        ratio = F.create_map(*[F.lit(x) for kv in (
+            (m, want_test[m] / (want_test[m] + want_train[m]) if want_test[m] + want_train[m] > 0 else 0.0)
+            for m in totals) for x in kv])
+        open_rows = F.array_contains("_labs", lab)
+        if done:
+            open_rows = open_rows & ~F.arrays_overlap("_labs", F.array(*[F.lit(x) for x in done]))
+        need = F.aggregate(F.transform("_labs", lambda m: F.element_at(ratio, m)),
+                           F.lit(0.0), lambda a, x: a + x) / F.size("_labs")
+        cand = rows.filter(open_rows).withColumn(
+            "_q", F.floor(F.greatest(F.least(need, F.lit(1.0)), F.lit(0.0)) * F.lit(NEED_LEVELS)).cast("int"))
+        hist = sorted(((r["_q"], r["n"]) for r in
+                       cand.groupBy("_q").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        above, cut, take = 0, None, 0
+        for q, n in hist:
+            if above + n >= k:
+                cut, take = q, k - above
+                break
+            above += n
+        if k == 0 or cut is None:
+            picked = cand.select(id_col, "_labs", F.lit("test" if k > 0 else "train").alias("split"))
+        else:
+            tie = rank_in_groups(cand.filter(F.col("_q") == cut), "_q", "_h", id_col).select(
+                id_col, "_labs", F.when(F.col("rank") <= take, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+            rest = cand.filter(F.col("_q") != cut).select(
+                id_col, "_labs", F.when(F.col("_q") > cut, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+            picked = tie.unionByName(rest)
+        upd = (picked.select("split", F.explode("_labs").alias("label"))
+                     .groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")).collect())
+        for r in upd:
+            (want_test if r["split"] == "test" else want_train)[r["label"]] -= r["n"]
+            remaining[r["label"]] -= r["n"]
+        want_all_test -= k
+        done.append(lab)
+        parts.append(picked.select(id_col, "split"))
+    empty = rows.filter(F.size("_labs") == 0)
+    n_empty = empty.count()
+    if n_empty:
+        k0 = int(min(max(math.floor(want_all_test + 0.5), 0), n_empty))
+        e = rank_in_groups(empty.withColumn("_g", F.lit(0)), "_g", "_h", id_col)
+        parts.append(e.select(id_col, F.when(F.col("rank") <= k0, F.lit("test"))
+                              .otherwise(F.lit("train")).alias("split")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"{id_col} {rows.schema[id_col].dataType.simpleString()}, "
+                                                   "split string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

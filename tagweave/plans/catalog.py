@@ -390,6 +390,12 @@ def q_split_rarest(spark, sf):
     return s
 
 
+def q_split_iterative(spark, sf):
+    """M1 default form (rows-only check: the result is order-dependent by design)."""
+    lt = AD.line_tags(spark, sf)
+    return SP.split_iterative(lt, "codes", "row_id")
+
+
 def q_split_balance(spark, sf):
     lt, s = _split(spark, sf)
     b = SP.split_balance(lt, "codes", s)

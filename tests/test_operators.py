@@ -12,7 +12,7 @@ from tagweave.operators import metrics as MT
 from tagweave.operators import neardup as ND
 from tagweave.operators import ranking as RK
 from tagweave.operators.dedup import dedup_exact
-from tagweave.operators.split import split_rarest
+from tagweave.operators.split import split_iterative, split_rarest
 from tagweave.sources.readers import label_names, read_second_source
 
 from .conftest import SF001
@@ -114,6 +114,14 @@ def test_near_dup_pairs_match_exact_jaccard(spark):
     assert got == want
 
 
+def test_blocked_buckets_give_every_pair_once(spark):
+    # 30 texts in one bucket with block=4 -> 8 blocks, 36 cells; all 435 pairs, once each.
+    sig = spark.createDataFrame([(i, [7] * 6) for i in range(30)], "id long, sig array<long>")
+    pairs = ND.candidate_pairs(sig, n_bands=2, band_rows=3, block=4)
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == 30 * 29 // 2
+
+
 def test_rank_thresholds_ties_and_edges(spark):
     # rank 1: 0.9 > 0.2; rank 2: exactly 0.5 (fails '>' but passes '>='); rank 5: saturated 1.0.
     scores = [0.9, 0.5, 0.1, 0.05, 1.0]
@@ -194,6 +202,21 @@ def test_split_is_a_partition_and_stable(spark):
     assert 0.18 < share < 0.22
 
 
+def test_iterative_split_balances_every_label(spark):
+    rnd = random.Random(11)
+    labs = ["a", "b", "c", "d", "e"]
+    rows = [(i, rnd.sample(labs, rnd.randint(1, 3))) for i in range(400)] + [(1000 + i, []) for i in range(10)]
+    df = spark.createDataFrame(rows + [(-1, None)], "row_id long, codes array<string>")
+    s = {r["row_id"]: r["split"] for r in split_iterative(df, "codes").collect()}
+    assert len(s) == 410 and -1 not in s
+    for lab in labs:
+        ids = [i for i, ls in rows if lab in ls]
+        share = sum(1 for i in ids if s[i] == "test") / len(ids)
+        assert abs(share - 0.2) < 0.01, (lab, share)
+    again = {r["row_id"]: r["split"] for r in split_iterative(df.repartition(3), "codes").collect()}
+    assert again == s
+
+
 def test_downsample_exact_n(spark):
     df = spark.createDataFrame([(i, ["2.1"] if i % 3 else ["1.1", "2.1"]) for i in range(60)] + [(99, None)],
                                "row_id long, codes array<string>")
