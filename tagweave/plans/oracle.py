@@ -533,6 +533,25 @@ def build() -> dict[str, str]:
         " GROUP BY scope, level")
 
     q["near_dup_pairs"] = with_(_exact_pairs()) + "SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
+    # The sequential walk itself: visit nodes with edges in id order, keep a
+    # node unless an already kept node is its neighbour.
+    walk = ("WITH RECURSIVE " + _exact_pairs() + """,
+nodes AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs),
+ordered AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM nodes),
+nb AS (SELECT o.rn, list(CASE WHEN p.a = o.id THEN p.b ELSE p.a END) AS adj
+       FROM ordered o JOIN pairs p ON p.a = o.id OR p.b = o.id GROUP BY o.rn),
+walk(rn, kept) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN len(list_intersect(w.kept, n.adj)) > 0 THEN w.kept
+              ELSE list_append(w.kept, o.id) END
+  FROM walk w JOIN ordered o ON o.rn = w.rn + 1 JOIN nb n ON n.rn = o.rn)
+SELECT doc_id FROM dtexts
+WHERE doc_id NOT IN (SELECT id FROM nodes)
+   OR doc_id IN (SELECT unnest(kept) FROM walk WHERE rn = (SELECT count(*) FROM ordered))""")
+    q["near_dup_keep"] = walk
+    q["dedup_full"] = walk
     return q
 
 
