@@ -114,6 +114,29 @@ def test_near_dup_pairs_match_exact_jaccard(spark):
     assert got == want
 
 
+def test_hot_bucket_survivors_equal_sequential_walk(spark):
+    # Clusters of near-copies plus unrelated texts; hot_bucket=2 forces every
+    # shared bucket through the star path, the default through exact edges.
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for c in range(4):
+        base = [rnd.choice(words) for _ in range(60)]
+        for v in range(5):
+            t = list(base)
+            for _ in range(v * 2):
+                t[rnd.randrange(len(t))] = rnd.choice(words)
+            texts.append(" ".join(t))
+    texts += [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = [(r["a"], r["b"]) for r in ND.near_dup_pairs(df, "id", "text").collect()]
+    want = _sequential_walk(list(range(len(texts))), pairs)
+    for hot in (2, 512):
+        got = {r["id"] for r in ND.near_dup_keep(df, "id", "text", hot_bucket=hot).collect()}
+        assert got == want, hot
+    assert len(want) < len(texts)
+
+
 def test_blocked_buckets_give_every_pair_once(spark):
     # 30 texts in one bucket with block=4 -> 8 blocks, 36 cells; all 435 pairs, once each.
     sig = spark.createDataFrame([(i, [7] * 6) for i in range(30)], "id long, sig array<long>")
