@@ -370,8 +370,9 @@ def _distinct_texts() -> str:
             "QUALIFY row_number() OVER (PARTITION BY md5(lower(text)) ORDER BY doc_id DESC) = 1)")
 
 
-def _exact_pairs(size: int = 9, threshold: float = 0.6) -> str:
-    return f"""{_distinct_texts()},
+def _exact_pairs(size: int = 9, threshold: float = 0.6, dtexts: str | None = None) -> str:
+    """Exact all-pairs Jaccard over ``dtexts(doc_id, text, ...)``."""
+    return f"""{dtexts or _distinct_texts()},
 lt AS (SELECT doc_id, lower(text) AS t FROM dtexts),
 sh AS (SELECT DISTINCT doc_id, s FROM (
    SELECT doc_id, substring(t, i, {size}) AS s FROM lt, range(1, greatest(length(t) - {size} + 2, 2)) r(i)
@@ -384,6 +385,26 @@ pairs AS (SELECT i.a, i.b, i.k / (na.n + nb.n - i.k) AS jaccard FROM inter i
           WHERE i.k / (na.n + nb.n - i.k) >= {threshold})"""
 
 
+def walk_sql(prefix_ctes: list[str], dtexts: str | None, select: str) -> str:
+    """Sequential survivor walk as a recursive CTE; ``select`` reads ``survivors``."""
+    return ("WITH RECURSIVE " + "".join(c + ",\n" for c in prefix_ctes) + _exact_pairs(dtexts=dtexts) + """,
+nodes AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs),
+ordered AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM nodes),
+nb AS (SELECT o.rn, list(CASE WHEN p.a = o.id THEN p.b ELSE p.a END) AS adj
+       FROM ordered o JOIN pairs p ON p.a = o.id OR p.b = o.id GROUP BY o.rn),
+walk(rn, kept) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN len(list_intersect(w.kept, n.adj)) > 0 THEN w.kept
+              ELSE list_append(w.kept, o.id) END
+  FROM walk w JOIN ordered o ON o.rn = w.rn + 1 JOIN nb n ON n.rn = o.rn),
+survivors AS (SELECT * FROM dtexts
+  WHERE doc_id NOT IN (SELECT id FROM nodes)
+     OR doc_id IN (SELECT unnest(kept) FROM walk WHERE rn = (SELECT count(*) FROM ordered)))
+""" + select)
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     R = with_(RECORDS)
@@ -535,23 +556,18 @@ def build() -> dict[str, str]:
     q["near_dup_pairs"] = with_(_exact_pairs()) + "SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
     # The sequential walk itself: visit nodes with edges in id order, keep a
     # node unless an already kept node is its neighbour.
-    walk = ("WITH RECURSIVE " + _exact_pairs() + """,
-nodes AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs),
-ordered AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM nodes),
-nb AS (SELECT o.rn, list(CASE WHEN p.a = o.id THEN p.b ELSE p.a END) AS adj
-       FROM ordered o JOIN pairs p ON p.a = o.id OR p.b = o.id GROUP BY o.rn),
-walk(rn, kept) AS (
-  SELECT 0, CAST([] AS BIGINT[])
-  UNION ALL
-  SELECT w.rn + 1,
-         CASE WHEN len(list_intersect(w.kept, n.adj)) > 0 THEN w.kept
-              ELSE list_append(w.kept, o.id) END
-  FROM walk w JOIN ordered o ON o.rn = w.rn + 1 JOIN nb n ON n.rn = o.rn)
-SELECT doc_id FROM dtexts
-WHERE doc_id NOT IN (SELECT id FROM nodes)
-   OR doc_id IN (SELECT unnest(kept) FROM walk WHERE rn = (SELECT count(*) FROM ordered))""")
+    walk = walk_sql([], None, "SELECT doc_id FROM survivors")
     q["near_dup_keep"] = walk
     q["dedup_full"] = walk
+    pre = ("pc AS (SELECT *, CAST(src_rank AS BIGINT) * 1000000000000000 + CAST(src_year AS BIGINT) * 10000000000 "
+           "+ src_row AS idx FROM combined)")
+    proc = f"proc AS (SELECT * FROM {processed('pc')})"
+    dt = ("dtexts AS (SELECT idx AS doc_id, AllText AS text, FundingOrganisation, RA, HC FROM proc "
+          "QUALIFY row_number() OVER (PARTITION BY md5(lower(AllText)) ORDER BY idx DESC) = 1)")
+    q["build_clean"] = walk_sql(
+        [RECORDS, LINE_TAGS, SURVEY, RAW2, SECOND, COMBINED, pre, proc], dt,
+        f"SELECT doc_id AS \"index\", FundingOrganisation, text AS AllText, {j('RA')} AS RA, "
+        f"{j(normalise('HC'))} AS HC FROM survivors")
     return q
 
 
