@@ -99,7 +99,11 @@ def split_categories(df: DataFrame, categories: list[str], id_col: str = "row_id
                      test_share: float = TEST_SHARE, seed: int = 10,
                      cased: bool = False) -> DataFrame:
     """One split per category over one input, as a single plan with a
-    ``category`` column (no re-read per category)."""
+    ``category`` column.  The input is read by every category twice (split
+    and payload), so it is materialised once as a table in the checkpoint
+    folder instead of being recomputed per branch."""
+    from ..session import cut_lineage
+    df = cut_lineage(df.select(id_col, text_col, *categories, *meta_cols))
     text = F.col(text_col) if cased else F.lower(F.col(text_col))
     parts = []
     for cat in categories:

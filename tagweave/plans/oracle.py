@@ -365,6 +365,20 @@ split AS (SELECT row_id, stratum,
           FROM ranked_s)"""
 
 
+def _split_ctes(pfx: str, rows_sql: str, seed: int = 10, p: int = 1, q: int = 5) -> str:
+    """Rarest-label split CTEs named ``{pfx}_*`` over ``rows_sql`` (row_id, labs)."""
+    return f"""{pfx}_rows AS ({rows_sql}),
+{pfx}_long AS (SELECT row_id, unnest(labs) AS label FROM {pfx}_rows),
+{pfx}_n AS (SELECT label, count(*) AS n FROM {pfx}_long GROUP BY label),
+{pfx}_rarest AS (SELECT l.row_id, arg_min(l.label, (c.n, l.label)) AS stratum
+                 FROM {pfx}_long l JOIN {pfx}_n c USING (label) GROUP BY l.row_id),
+{pfx}_ranked AS (SELECT r.row_id, row_number() OVER (PARTITION BY coalesce(s.stratum, '')
+                   ORDER BY md5(CAST(r.row_id AS VARCHAR) || '|{seed}'), r.row_id) AS rn
+                 FROM {pfx}_rows r LEFT JOIN {pfx}_rarest s USING (row_id)),
+{pfx}_split AS (SELECT row_id, CASE WHEN (rn * {p}) // {q} > ((rn - 1) * {p}) // {q}
+                THEN 'test' ELSE 'train' END AS split FROM {pfx}_ranked)"""
+
+
 def _distinct_texts() -> str:
     return ("dtexts AS (SELECT doc_id, text FROM documents "
             "QUALIFY row_number() OVER (PARTITION BY md5(lower(text)) ORDER BY doc_id DESC) = 1)")
@@ -553,6 +567,19 @@ def build() -> dict[str, str]:
                           per_label_sql(("all",), classes=f"SELECT unnest({codes}) AS key")) + SUMMARY + (
         " GROUP BY scope, level")
 
+    top_b = (f"list_sort(list_distinct(list_transform(list_filter(t.codes, lambda x: {_ws_nonblank('x')}), "
+             f"lambda x: substring(x, 1, 1))))")
+    base = (f"base AS (SELECT t.row_id, r.FundingOrganisation, r.AwardTitle AS AllText, t.codes AS RA, "
+            f"{top_b} AS RA_top, {normalise('t.hcs')} AS HC FROM records r JOIN line_tags t ON r.doc_id = t.row_id)")
+    cats = ["RA", "RA_top", "HC"]
+    ctes = [RECORDS, LINE_TAGS, base] + [
+        _split_ctes(c.lower(), f"SELECT row_id, list_distinct({c}) AS labs FROM base WHERE {c} IS NOT NULL")
+        for c in cats]
+    q["split_categories"] = with_(*ctes) + " UNION ALL ".join(
+        f"SELECT {lit(c.lower())} AS category, s.split, b.row_id, b.FundingOrganisation, lower(b.AllText) AS text, "
+        f"array_to_string(b.{c}, '|') AS labels FROM base b JOIN {c.lower()}_split s USING (row_id)"
+        for c in cats)
+
     q["near_dup_pairs"] = with_(_exact_pairs()) + "SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
     # The sequential walk itself: visit nodes with edges in id order, keep a
     # node unless an already kept node is its neighbour.

@@ -26,3 +26,21 @@ def test_stream_equals_batch(spark):
     s = {(r["doc_id"], r["labels"]) for r in q_stream_tag(spark, SF001).collect()}
     b = {(r["doc_id"], r["labels"]) for r in q_score_batch(spark, SF001).collect()}
     assert s == b and len(s) == spark.read.parquet(os.path.join(SF001, "documents.parquet")).count()
+
+
+def _rows(df):
+    return sorted(tuple(str(v) for v in r) for r in df.collect())
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    names = ["dedup_exact", "split_rarest", "metrics_suite", "downsample_tag", "near_dup_keep",
+             "survey_combined"]
+    qs = E.queries()
+    base = {n: _rows(qs[n](spark, SF001)) for n in names}
+    try:
+        for parts in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for n in names:
+                assert _rows(qs[n](spark, SF001)) == base[n], (n, parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
