@@ -332,7 +332,7 @@ SUMMARY = f"""SELECT {PREFIX_SQL} AS prefix,
   round(CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) / (sum(tp) + sum(fn)) ELSE 0.0 END, 9) AS recall_micro,
   round(avg(f1), 9) AS f1_macro,
   round(CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) > 0 THEN 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) ELSE 0.0 END, 9) AS f1_micro,
-  arg_min(support, key) AS label0_true, arg_min(tp + fp, key) AS label0_pred
+  CAST(arg_min(support, key) AS BIGINT) AS label0_true, CAST(arg_min(tp + fp, key) AS BIGINT) AS label0_pred
 FROM per2"""
 
 
@@ -438,7 +438,7 @@ def build() -> dict[str, str]:
     dedup = (f"(SELECT * FROM {processed()} QUALIFY row_number() OVER "
              f"(PARTITION BY md5(lower(AllText)) ORDER BY doc_id DESC) = 1)")
     q["dedup_exact"] = R + f"SELECT doc_id, AllText FROM {dedup}"
-    q["source_counts"] = R + (f"SELECT FundingOrganisation, count(*) AS n_docs, sum(length(AllText)) AS n_chars "
+    q["source_counts"] = R + (f"SELECT FundingOrganisation, count(*) AS n_docs, CAST(sum(length(AllText)) AS BIGINT) AS n_chars "
                               f"FROM {dedup} GROUP BY FundingOrganisation")
 
     RL = with_(RECORDS, LINE_TAGS)
@@ -496,7 +496,7 @@ def build() -> dict[str, str]:
         "LEFT JOIN (SELECT s.split, l.label, count(*) AS n FROM lab_long l JOIN split s USING (row_id) GROUP BY ALL) c "
         "USING (split, label)")
     q["split_balance"] = SPL + (
-        "SELECT l.label, count(*) AS n, sum(CASE WHEN s.split = 'test' THEN 1 ELSE 0 END) AS n_test, "
+        "SELECT l.label, count(*) AS n, CAST(sum(CASE WHEN s.split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test, "
         "round(sum(CASE WHEN s.split = 'test' THEN 1 ELSE 0 END) / count(*), 9) AS test_share "
         "FROM lab_long l JOIN split s USING (row_id) GROUP BY l.label")
     q["split_meta"] = with_(LINE_TAGS, META, _split_sql().replace(
