@@ -126,6 +126,14 @@ def q_survey_combined(spark, sf):
                     "src_year", "src_row")
 
 
+def q_latest_per_key(spark, sf):
+    """W1 alone: newest year per (funder, reference) over the three sheets."""
+    years = [RD.read_survey_year(AD.survey_sheet(spark, sf, y), y) for y in (2014, 2018, 2022)]
+    latest = DD.latest_per_key(RD.union_years(years), ["FundingOrganisation", "OrganisationReference"],
+                               ["year", "sheet_row"])
+    return latest.select("FundingOrganisation", "OrganisationReference", "year", "sheet_row")
+
+
 def q_src_second(spark, sf):
     s = _second(spark, sf)
     return s.select("OrganisationReference", "AwardTitle", "AwardAbstract",
@@ -419,6 +427,17 @@ def q_split_categories(spark, sf):
     return s.select("category", "split", "row_id", "FundingOrganisation", "text", _j("labels").alias("labels"))
 
 
+def q_split_write(spark, sf):
+    """The three-category split written once, partitioned by (category, split), read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    SP.write_splits(q_split_categories(spark, sf), out)
+    back = spark.read.parquet(out)
+    return back.select("category", "split", "row_id", "FundingOrganisation", "text", "labels")
+
+
 # ---------------------------------------------------------------- near duplicates
 
 def _distinct_texts(spark, sf) -> DataFrame:

@@ -580,6 +580,14 @@ def build() -> dict[str, str]:
         f"array_to_string(b.{c}, '|') AS labels FROM base b JOIN {c.lower()}_split s USING (row_id)"
         for c in cats)
 
+    q["split_write"] = q["split_categories"]
+    q["latest_per_key"] = RL + (
+        "SELECT FundingOrganisation, OrganisationReference, year, sheet_row FROM ("
+        f"SELECT * FROM {survey_year(2014)} UNION ALL BY NAME SELECT * FROM {survey_year(2018)} "
+        f"UNION ALL BY NAME SELECT * FROM {survey_year(2022)}) "
+        "QUALIFY row_number() OVER (PARTITION BY FundingOrganisation, OrganisationReference "
+        "ORDER BY year DESC, sheet_row DESC) = 1")
+
     q["near_dup_pairs"] = with_(_exact_pairs()) + "SELECT a, b, round(jaccard, 9) AS jaccard FROM pairs"
     # The sequential walk itself: visit nodes with edges in id order, keep a
     # node unless an already kept node is its neighbour.

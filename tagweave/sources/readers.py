@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..constants import (LABELS_LONG, LABELS_SHORT, LABELS_TINY, MANUAL_CODING,
                          SECOND_SOURCE_FUNDER, SECOND_SOURCE_RENAMES, SUPER_GROUPS,
                          SURVEY_2014_RENAMES, SURVEY_YEARS)
+from ..operators.dedup import latest_per_key
 from ..functions.tags import (first_tokens_slash, in_scope, label_parent, null_placeholders,
                               split_commas, top_chars_from_slash, top_level, truncate_codes,
                               wide_to_list)
@@ -64,6 +65,11 @@ def _prefix_cols(columns: list[str], prefix: str) -> list[str]:
     return [c for c in columns if c.split("_")[0] == prefix]
 
 
+def union_years(years: list[DataFrame]) -> DataFrame:
+    """Union by name; a year without some tag columns gets nulls there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years)
+
+
 def combine_survey_years(years: list[DataFrame]) -> DataFrame:
     """U1 -> W1 -> C11 -> C12 -> A10 -> P4 over the yearly frames.
 
@@ -71,13 +77,8 @@ def combine_survey_years(years: list[DataFrame]) -> DataFrame:
     is a hash aggregate with ``max_by`` rather than a window, so a hot key is
     reduced map-side before the shuffle instead of being sorted in one task.
     """
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), years)
-    order = F.struct(F.col("year"), F.col("sheet_row"))
-    keys = ["FundingOrganisation", "OrganisationReference"]
-    rest = [c for c in u.columns if c not in keys]
-    latest = (u.groupBy(*keys)
-               .agg(F.max_by(F.struct(*rest), order).alias("r"))
-               .select(*keys, "r.*"))
+    latest = latest_per_key(union_years(years), ["FundingOrganisation", "OrganisationReference"],
+                            ["year", "sheet_row"])
     numeric = {f.name for f in latest.schema.fields
                if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     hc_cols = _prefix_cols(latest.columns, "HC")
