@@ -137,6 +137,17 @@ def test_hot_bucket_survivors_equal_sequential_walk(spark):
     assert len(want) < len(texts)
 
 
+def test_star_jaccard_equals_pairwise(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta iota",
+             "completely unrelated words in this one", "alpha beta gamma"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    star = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in ND.star_jaccard(star, df, "id", "text").collect()}
+    want = {(r["a"], r["b"]): r["jaccard"] for r in ND.exact_jaccard(star, df, "id", "text").collect()
+            if r["jaccard"] > 0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_blocked_buckets_give_every_pair_once(spark):
     # 30 texts in one bucket with block=4 -> 8 blocks, 36 cells; all 435 pairs, once each.
     sig = spark.createDataFrame([(i, [7] * 6) for i in range(30)], "id long, sig array<long>")
