@@ -264,3 +264,26 @@ def test_class_weights_total_is_assignments(spark):
     long = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "row_id long, label string")
     w = {r["label"]: r["weight"] for r in LB.class_weights(long).collect()}
     assert w == {"a": 1.5, "b": 3.0}
+
+
+def test_csv_sheet_reader_and_null_safe_semi_join(spark, tmp_path):
+    from tagweave.operators.combine import semi_join_refs
+    from tagweave.sources.readers import load, read_survey_year
+    csv = tmp_path / "sheet2018.csv"
+    csv.write_text("FundingOrganisation,OrganisationReference,AwardTitle,AwardAbstract,CodingType,"
+                   "RA_1,RA_1%,HC_1,sheet_row\n"
+                   "F1,R1,T1,A1,Manual,2.1,100,cancer,1\n"
+                   "F1,R2,T2,A2,Automatic,3.1,100,oral,2\n"
+                   "F2,,T3,A3,Manual,,,,3\n")
+    schema = ("FundingOrganisation string, OrganisationReference string, AwardTitle string, "
+              "AwardAbstract string, CodingType string, RA_1 string, `RA_1%` double, HC_1 string, sheet_row long")
+    with pytest.raises(ValueError):
+        load(spark, str(csv), "csv")
+    sheet = read_survey_year(load(spark, str(csv), "csv", schema, header=True), 2018)
+    assert sheet.columns == ["FundingOrganisation", "OrganisationReference", "AwardTitle", "AwardAbstract",
+                             "RA_1", "HC_1", "sheet_row", "year"]
+    assert sorted(r["sheet_row"] for r in sheet.collect()) == [1, 3]   # non-Manual row dropped
+    second = spark.createDataFrame([("R1",), (None,), ("R9",)], "OrganisationReference string")
+    plain = semi_join_refs(sheet, second, funder="F2")
+    safe = semi_join_refs(sheet, second, funder="F2", null_safe=True)
+    assert plain.count() == 0 and [r[0] for r in safe.collect()] == [None]
