@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,12 @@ def class_weights(long_df: DataFrame, label_col: str = "label") -> DataFrame:
     """A3: weight = (all label assignments) / (assignments of the class).
 
     The total counts assignments, not rows.  A zero count gives null, not
-    infinity.  The data is aggregated per class first; the total is a window
-    over that per-class table, whose size is the number of classes.
+    infinity.  The data is aggregated per class first (partial aggregate);
+    the total is a scalar subquery over that per-class table, so there is no
+    cross join and no single-partition window.
     """
     per = long_df.groupBy(label_col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = per.agg(F.sum("count")).scalar()
     return per.select(label_col, "count",
                       F.when(F.col("count") > 0, total / F.col("count")).alias("weight"))
 

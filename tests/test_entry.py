@@ -44,3 +44,19 @@ def test_results_do_not_depend_on_partitioning(spark):
                 assert _rows(qs[n](spark, SF001)) == base[n], (n, parts)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_no_cross_or_nested_loop_joins(spark):
+    # Plans only (AQE off so the physical plan is final); queries that run
+    # actions while being built (iterative rounds, streams, writes) are skipped.
+    eager = {"stream_tag", "fit_tagger", "split_iterative", "near_dup_keep", "dedup_full",
+             "build_clean", "split_write", "near_dup_pairs", "split_categories"}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, fn in E.queries().items():
+            if name in eager:
+                continue
+            plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
