@@ -287,3 +287,16 @@ def test_csv_sheet_reader_and_null_safe_semi_join(spark, tmp_path):
     plain = semi_join_refs(sheet, second, funder="F2")
     safe = semi_join_refs(sheet, second, funder="F2", null_safe=True)
     assert plain.count() == 0 and [r[0] for r in safe.collect()] == [None]
+
+
+def test_opt_in_corrections(spark):
+    from tagweave.functions.text import clean_text_column
+    rules = {"drop": [], "nulls": [], "prefixes": [], "boiler_plate": ["aim", "aims"]}
+    df = spark.createDataFrame([(0, "Aims: x"), (1, "Aiming high")], "row_no int, t string")
+    parity = [r[0] for r in clean_text_column(df, "t", rules).orderBy("row_no").select("t").collect()]
+    fixed = [r[0] for r in clean_text_column(df, "t", rules, word_boundary=True, longest_first=True)
+             .orderBy("row_no").select("t").collect()]
+    assert parity == ["s: x", "ing high"] and fixed == ["x", "Aiming high"]
+    codes = spark.createDataFrame([([" 2.15", "3.4"],)], "t array<string>")
+    assert codes.select(TG.truncate_codes("t")).first()[0] == [" 2.", "3.4"]
+    assert codes.select(TG.truncate_codes("t", trim_first=True)).first()[0] == ["2.1", "3.4"]
