@@ -140,7 +140,7 @@ def two_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(lab, "doc_id").select("doc_id", "text", "source", tags.alias("tags"))
 
 
-def survey_sheet(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+def survey_sheet(spark: SparkSession, sf_dir: str, year: int, tags: DataFrame | None = None) -> DataFrame:
     """A raw yearly survey sheet in its wide form.
 
     2014 uses the public column names and numeric codes; later years carry a
@@ -148,7 +148,7 @@ def survey_sheet(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     ``RA_i%`` / ``HC_i%`` percentage columns exist only to be discarded.
     """
     rec = records(spark, sf_dir).filter(F.col("year") == year)
-    tags = line_tags(spark, sf_dir)
+    tags = tags if tags is not None else line_tags(spark, sf_dir)
     j = rec.join(tags, rec.doc_id == tags.row_id, "left")
     n_ra, n_hc = (4, 2) if year == 2014 else (6, 3)
     cols: list[Column] = [F.col("FundingOrganisation")]
@@ -175,10 +175,10 @@ def survey_sheet(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return j.select(*cols)
 
 
-def second_source_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def second_source_raw(spark: SparkSession, sf_dir: str, tags: DataFrame | None = None) -> DataFrame:
     """Raw second-source table: slash- and comma-separated tag strings."""
     d = records(spark, sf_dir)
-    tags = line_tags(spark, sf_dir)
+    tags = tags if tags is not None else line_tags(spark, sf_dir)
     j = d.join(tags, d.doc_id == tags.row_id, "left")
     tops = F.array_join(F.transform("codes9", lambda c: F.concat(F.substring(c, 1, 1), F.lit(" Group"))), " / ")
     tops = F.when(F.col("lang") == "de", F.concat(F.lit("None/"), tops)).otherwise(tops)
