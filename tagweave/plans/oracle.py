@@ -116,7 +116,7 @@ PRED = f"""pred AS (
     SELECT l_orderkey AS row_id, {C8} AS label FROM lineitem WHERE l_linenumber <= 3
     UNION ALL
     SELECT l_orderkey, CAST(1 + (l_partkey + 1) % 8 AS VARCHAR) || '.' || CAST(1 + l_suppkey % 5 AS VARCHAR)
-    FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0))"""
+    FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'))"""
 META = f"""meta AS (SELECT o_orderkey AS row_id,
   CASE WHEN o_orderpriority = '1-URGENT' THEN {lit(SUBGROUP_FUNDER)} ELSE o_orderpriority END AS FundingOrganisation
   FROM orders)"""
@@ -560,7 +560,7 @@ def build() -> dict[str, str]:
     codes = lst([n.split(":")[0] for n in LABELS_LONG])
     eval_truth = (f"truth AS (SELECT vec_id AS row_id, {codes}[i + 1] AS label FROM ("
                   f"SELECT vec_id, label AS i FROM embeddings UNION ALL "
-                  f"SELECT vec_id, label + 10 FROM embeddings WHERE vec_id % 2 = 0))")
+                  f"SELECT vec_id, label + 10 FROM embeddings WHERE embedding[49] > 0))")
     eval_pred = f"pred AS (SELECT row_id, {codes}[i + 1] AS label FROM (SELECT row_id, unnest(tags) AS i FROM tagged))"
     q["evaluate"] = with_(SCORES, SCORES_LONG, _rank_threshold(False), eval_truth, eval_pred,
                           rolled(("detail", "parent", "super"), False),

@@ -23,7 +23,7 @@ from ..functions.scores import sigmoid
 from ..session import read_table
 
 NL = "\n"
-LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]
 
 # Raw health-category spellings used to fill the demo sheets (ours).  They
 # include case/space variants so the rename step has work to do.
@@ -92,11 +92,12 @@ def truth_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted labels: codes of lines 1-3, plus a rotated code on every 5th order."""
+    """Predicted labels: codes of lines 1-3, plus a rotated (wrong) code for
+    orders whose first line was returned."""
     li = read_table(spark, sf_dir, "lineitem", LINE_COLS)
     first3 = li.filter(F.col("l_linenumber") <= 3).select(
         F.col("l_orderkey").alias("row_id"), code8().alias("label"))
-    rotated = li.filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0)).select(
+    rotated = li.filter((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R")).select(
         F.col("l_orderkey").alias("row_id"),
         F.concat((1 + (F.col("l_partkey") + 1) % 8).cast("string"), F.lit("."),
                  (1 + F.col("l_suppkey") % 5).cast("string")).alias("label"))
