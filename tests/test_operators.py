@@ -300,3 +300,12 @@ def test_opt_in_corrections(spark):
     codes = spark.createDataFrame([([" 2.15", "3.4"],)], "t array<string>")
     assert codes.select(TG.truncate_codes("t")).first()[0] == [" 2.", "3.4"]
     assert codes.select(TG.truncate_codes("t", trim_first=True)).first()[0] == ["2.1", "3.4"]
+
+
+def test_label_counts_zero_filled(spark):
+    long = spark.createDataFrame([(1, "a", "train"), (2, "a", "test"), (3, "b", "train")],
+                                 "row_id long, label string, split string")
+    classes = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    got = {(r["split"], r["label"]): r["count"] for r in LB.label_counts(long, classes).collect()}
+    assert got == {("train", "a"): 1, ("test", "a"): 1, ("train", "b"): 1, ("test", "b"): 0,
+                   ("train", "c"): 0, ("test", "c"): 0}
