@@ -7,10 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .lines import dedup_lines
+from .substrings import dedup_substrings
 from .quality import quality_verdicts
 
 #: SQL: the words of a text (runs of anything but ASCII white space)
-SQL_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+SQL_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
+
+
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup over all documents."""
+    return dedup_substrings(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "_parse.n_words", "_parse.n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL_OP2 = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS ref_doc FROM w GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM w JOIN f USING (k) WHERE doc_id > ref_doc),
+all_words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+kept AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t
+         FROM all_words a LEFT JOIN gone USING (doc_id, j) WHERE gone.j IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
 
 
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +62,12 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": q_op2,
     "op9_line_dedup": q_op9,
     "op10_quality_rules": q_op10,
 }
 
 ORACLE = {
+    "op2_substring_dedup": SQL_OP2,
     "op9_line_dedup": SQL_OP9,
 }
