@@ -73,7 +73,10 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def copied_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    size: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, copies array of (h, ref_doc, ref_pos)): windows that start in an earlier document."""
+    """(doc_id, h, ref_doc, ref_pos): windows that start in an earlier document.
+
+    The three are arrays in step (lists of one aggregation keep one row order).
+    """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     n_chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
 
@@ -94,10 +97,10 @@ def copied_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = arrow_map(src, suspects, "doc_id long, pos int, h long")
     index = cut_lineage(
         found.groupBy("h").agg(F.min("doc_id").alias("ref_doc"), F.min_by("pos", "doc_id").alias("ref_pos"),
-                               F.max("doc_id").alias("last_doc"))
-        .filter("ref_doc < last_doc").drop("last_doc"))
+                               F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").drop("n"))
     return (found.select("doc_id", "h").join(index, "h").filter("doc_id > ref_doc")
-            .groupBy("doc_id").agg(F.collect_list(F.struct("h", "ref_doc", "ref_pos")).alias("copies")))
+            .groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("h", "ref_doc", "ref_pos")]))
 
 
 def parse(n_words: int, h: np.ndarray, copies: dict[str, np.ndarray], size: int):
@@ -128,17 +131,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      size: int = WINDOW, seed: int = SEED) -> DataFrame:
     """All columns of ``docs``, the text without copied words (the rest joined by one space),
     plus ``_parse`` (struct: ``n_words``, ``n_removed``, ``factors``)."""
-    copies = copied_windows(docs, id_col, text_col, size, seed).withColumnsRenamed({"doc_id": "_copy_id", "copies": "_copies"})
+    copies = copied_windows(docs, id_col, text_col, size, seed).withColumnsRenamed(
+        {"doc_id": "_copy_id", "h": "_h", "ref_doc": "_ref_doc", "ref_pos": "_ref_pos"})
 
     @F.pandas_udf("text string, n_words long, n_removed long, factors array<struct<start:long,length:long,ref_doc:long,ref_start:long>>")
-    def clean(text: pd.Series, got: pd.Series) -> pd.DataFrame:
+    def clean(text: pd.Series, hs: pd.Series, ref_docs: pd.Series, ref_starts: pd.Series) -> pd.DataFrame:
         out = []
-        for t, c in zip(text, got):
+        for t, h, ref_doc, ref_pos in zip(text, hs, ref_docs, ref_starts):
             words = (t or "").encode("utf-8", "surrogatepass").split()
             factors: list = []
-            if c is not None and len(c):
-                cols = {"h": np.array([x["h"] for x in c], dtype=np.int64).view(np.uint64),
-                        "ref_doc": np.array([x["ref_doc"] for x in c]), "ref_pos": np.array([x["ref_pos"] for x in c])}
+            if h is not None:
+                cols = {"h": np.asarray(h, dtype=np.int64).view(np.uint64), "ref_doc": np.asarray(ref_doc),
+                        "ref_pos": np.asarray(ref_pos)}
                 factors, gone = parse(len(words), windows([t], size, seed)[3], cols, size)
                 kept = list(compress(words, ~gone))
             else:
@@ -148,6 +152,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed", "factors"])
 
     joined = docs.join(copies, F.col(id_col) == F.col("_copy_id"), "left").withColumn(
-        "_parse", clean(F.col(text_col), F.col("_copies")))
+        "_parse", clean(F.col(text_col), "_h", "_ref_doc", "_ref_pos"))
     return joined.select(*[F.col("_parse.text").alias(c) if c == text_col else F.col(c) for c in docs.columns],
                          F.struct("_parse.n_words", "_parse.n_removed", "_parse.factors").alias("_parse"))
