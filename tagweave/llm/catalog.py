@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .lines import dedup_lines
 from .substrings import dedup_substrings
+from .neardups import near_duplicates
 from .quality import quality_verdicts
 
 #: SQL: the words of a text (runs of anything but ASCII white space)
@@ -35,6 +36,27 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
 
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+SQL_OP3 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SQL_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]
+             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b USING (k) WHERE a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+c AS (SELECT u, min(v) AS class_id FROM reach GROUP BY u),
+k AS (SELECT u, count(*) AS n_links FROM links GROUP BY u),
+t AS (SELECT g, min(doc_id) AS copy_id FROM s WHERE len(g) > 0 GROUP BY g)
+SELECT s.doc_id, class_id, coalesce(copy_id, s.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
+FROM s JOIN c ON s.doc_id = c.u LEFT JOIN k ON s.doc_id = k.u LEFT JOIN t ON s.g = t.g
+"""
+
+
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup over all documents."""
     return dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text")).select(
@@ -62,12 +84,14 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_jaccard_join": q_op3,
     "op2_substring_dedup": q_op2,
     "op9_line_dedup": q_op9,
     "op10_quality_rules": q_op10,
 }
 
 ORACLE = {
+    "op3_ngram_jaccard_join": SQL_OP3,
     "op2_substring_dedup": SQL_OP2,
     "op9_line_dedup": SQL_OP9,
 }
