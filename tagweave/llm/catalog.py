@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .common import read
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .substrings import dedup_substrings
 from .neardups import near_duplicates
@@ -57,6 +59,28 @@ FROM s JOIN c ON s.doc_id = c.u LEFT JOIN k ON s.doc_id = k.u LEFT JOIN t ON s.g
 """
 
 
+def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE encoding and decoding of all documents."""
+    return encode(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "_bpe.n_tokens", F.sha2("_bpe.ids", 256).alias("ids_sha256"),
+        F.sha2("_bpe.decoded", 256).alias("decoded_sha256"))
+
+
+def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License scan of all documents."""
+    base, spans = F.col("_license.base"), F.col("_license.spans")
+
+    def joined(labels):
+        return F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+
+    return scan_licenses(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "_license.n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        joined(base["label"]).alias("base_labels"), joined(F.concat(base["label"], spans["label"])).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(
+            F.coalesce(F.least(F.array_max(spans["cover"]), F.lit(1.0)), F.lit(0.0))).alias("score"))
+
+
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup over all documents."""
     return dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text")).select(
@@ -86,6 +110,8 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_ngram_jaccard_join": q_op3,
     "op2_substring_dedup": q_op2,
+    "op6_bpe_codec": q_op6,
+    "op8_license_scan": q_op8,
     "op9_line_dedup": q_op9,
     "op10_quality_rules": q_op10,
 }

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import cut_lineage, ensure_checkpoint_dir, ship_package, table_path
 
-__all__ = ["arrow_map", "cut_lineage", "read", "slices"]
+__all__ = ["arrow_map", "cut_lineage", "read", "slices", "with_column_schema"]
 
 SLICE_BYTES = 8 << 20
 
@@ -32,11 +33,15 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             yield b.slice(at, step)
 
 
+def with_column_schema(df: DataFrame, name: str, ddl: str) -> StructType:
+    """Schema of ``df`` with one more column."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {ddl}").fields])
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str,
               max_bytes: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with a function from a bounded slice to dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
     target = to_arrow_schema(StructType.fromDDL(schema))
     # string columns may arrive as large_string; the kernels only read Python values
 
