@@ -77,8 +77,8 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "_license.n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
         joined(base["label"]).alias("base_labels"), joined(F.concat(base["label"], spans["label"])).alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(
-            F.coalesce(F.least(F.array_max(spans["cover"]), F.lit(1.0)), F.lit(0.0))).alias("score"))
+        F.when(F.size(base) > 0, 1.0).when(F.size(spans) > 0, F.least(F.array_max(spans["cover"]), F.lit(1.0)))
+        .otherwise(0.0).alias("score"))
 
 
 def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
