@@ -9,9 +9,11 @@ from .bpe import encode
 from .common import read
 from .licenses import scan_licenses
 from .lines import dedup_lines
-from .substrings import dedup_substrings
 from .neardups import near_duplicates
+from .pii import KINDS, find_pii, span_text
 from .quality import quality_verdicts
+from .secrets import scan_secrets
+from .substrings import dedup_substrings
 
 #: SQL: the words of a text (runs of anything but ASCII white space)
 SQL_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
@@ -59,6 +61,24 @@ FROM s JOIN c ON s.doc_id = c.u LEFT JOIN k ON s.doc_id = k.u LEFT JOIN t ON s.g
 """
 
 
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret scan of all documents: every candidate with its score."""
+    return scan_secrets(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
+        "doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"),
+        F.sha2("match", 256).alias("match_sha256"), F.round("prob", 6).alias("prob"), "is_secret")
+
+
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = find_pii(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+    def count(i):
+        return F.size(F.filter("base", lambda c: c["kind"] == i)).cast("long")
+
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+                        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of all documents."""
     return encode(read(spark, sf_dir, "documents", "doc_id", "text")).select(
@@ -110,7 +130,9 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_ngram_jaccard_join": q_op3,
     "op2_substring_dedup": q_op2,
+    "op4_secret_scan": q_op4,
     "op6_bpe_codec": q_op6,
+    "op7_pii": q_op7,
     "op8_license_scan": q_op8,
     "op9_line_dedup": q_op9,
     "op10_quality_rules": q_op10,

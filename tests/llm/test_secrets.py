@@ -1,0 +1,44 @@
+"""Secret scan: findings, false positives, one-class and empty input."""
+
+import random
+
+from tagweave.llm.secrets import scan_secrets
+
+from .data import SCHEMA, frame
+
+
+def sample(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        text = [f'so token = "{value}" it', f"at commit {value} we", f"file src/lib{i}x/main{value[:12]}/a ok",
+                f"password={value[:18]} end", "api_key=example1234567 end", "plain words only"][i % 6]
+        out.append((i, text, "en", "src0", 0, "", "", "", ""))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.createDataFrame(sample(300, 1), SCHEMA)
+    got = scan_secrets(docs).collect()
+    assert all(r["match"] == sample(300, 1)[r["doc_id"]][1][r["start"]:r["end"]] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"] % 6, []).append(r["is_secret"])
+    assert all(by[0]) and all(by[3]) and not any(by[1]) and not any(by[4])
+    assert len(by[0]) == 50 and len(by[3]) == 50
+
+
+def test_labelled_findings_decide(spark):
+    docs = spark.createDataFrame(sample(120, 2), SCHEMA)
+    cand = scan_secrets(docs)
+    flipped = cand.selectExpr("doc_id", "start", "cast(doc_id % 6 = 1 as double) as label").filter("doc_id < 60")
+    held = scan_secrets(docs, flipped).filter("doc_id >= 60").collect()
+    right = [r["is_secret"] == (r["doc_id"] % 6 == 1) for r in held]
+    assert sum(right) >= 0.95 * len(right)
+
+
+def test_odd_rows(spark):
+    got = scan_secrets(frame(spark)).collect()
+    assert any(r["end"] - r["start"] == 40 for r in got)
+    assert scan_secrets(frame(spark, only=lambda r: False)).count() == 0
