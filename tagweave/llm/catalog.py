@@ -9,16 +9,73 @@ from .bpe import encode
 from .common import read
 from .licenses import scan_licenses
 from .lines import dedup_lines
+from .mixing import ALPHA, mix, topic_of
 from .neardups import near_duplicates
 from .pii import KINDS, find_pii, span_text
 from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
+from .topk import exact_topk
 
 #: SQL: the words of a text (runs of anything but ASCII white space)
 SQL_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
 
 
+def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probabilities and decisions of all documents, raked to tempered marginals."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    return mix(docs, topic_of(F.col("text"))).select(
+        "doc_id", "_mix.n_tokens", F.round("_mix.prob", 4).alias("prob"), "_mix.sampled")
+
+
+def _sql_goal(dim: str) -> str:
+    return (f"(SELECT {dim}, sum(sum(tokens)) OVER () * pow(sum(tokens), {ALPHA}) / sum(pow(sum(tokens), {ALPHA})) OVER () AS goal "
+            f"FROM cells GROUP BY {dim})")
+
+
+SQL_OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang,
+    CAST(len({SQL_WORDS}) AS BIGINT) AS n_tokens,
+    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
+         WHEN contains(coalesce(text, ''), '%%%') OR contains(coalesce(text, ''), '###') THEN 'markup'
+         WHEN regexp_matches(coalesce(text, ''), '[0-9]{{4}}') THEN 'records'
+         WHEN length(text) - length(replace(text, chr(10), '')) >= 5 THEN 'article' ELSE 'prose' END AS topic FROM documents),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+goals AS (SELECT c.*, s.goal AS gs, l.goal AS gl, t.goal AS gt FROM cells c
+          JOIN {_sql_goal("source")} s ON c.source IS NOT DISTINCT FROM s.source
+          JOIN {_sql_goal("lang")} l ON c.lang IS NOT DISTINCT FROM l.lang
+          JOIN {_sql_goal("topic")} t ON c.topic IS NOT DISTINCT FROM t.topic),
+raked AS (SELECT 0 AS r, *, CAST(1 AS DOUBLE) AS f FROM goals UNION ALL
+  SELECT r + 1, source, lang, topic, tokens, gs, gl, gt, CASE WHEN w > 0 THEN f * gt / w ELSE f END FROM (
+    SELECT *, sum(tokens * f) OVER (PARTITION BY topic) AS w FROM (
+      SELECT r, source, lang, topic, tokens, gs, gl, gt, CASE WHEN w > 0 THEN f * gl / w ELSE f END AS f FROM (
+        SELECT *, sum(tokens * f) OVER (PARTITION BY lang) AS w FROM (
+          SELECT r, source, lang, topic, tokens, gs, gl, gt, CASE WHEN w > 0 THEN f * gs / w ELSE f END AS f FROM (
+            SELECT *, sum(tokens * f) OVER (PARTITION BY source) AS w FROM raked WHERE r < 60))))) ),
+p AS (SELECT source, lang, topic, least(f / (SELECT max(f) FROM raked WHERE r = 60 AND tokens > 0), 1.0) AS prob FROM raked WHERE r = 60)
+SELECT doc_id, n_tokens, round(prob, 4) AS prob,
+       CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 < prob AS sampled
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic
+"""
+
+
+def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th embedding with all others."""
+    v = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return exact_topk(v, v.filter("vec_id % 50 = 0"), 5)
+
+
+SQL_OP5 = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring dedup over all documents."""
     return dedup_substrings(read(spark, sf_dir, "documents", "doc_id", "text")).select(
@@ -128,9 +185,11 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": q_op1,
     "op3_ngram_jaccard_join": q_op3,
     "op2_substring_dedup": q_op2,
     "op4_secret_scan": q_op4,
+    "op5_exact_topk": q_op5,
     "op6_bpe_codec": q_op6,
     "op7_pii": q_op7,
     "op8_license_scan": q_op8,
@@ -139,6 +198,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_source_mixing": SQL_OP1,
+    "op5_exact_topk": SQL_OP5,
     "op3_ngram_jaccard_join": SQL_OP3,
     "op2_substring_dedup": SQL_OP2,
     "op9_line_dedup": SQL_OP9,

@@ -24,10 +24,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut_lineage
+from .common import arrow_map, cut_lineage, slices, with_column_schema
 from .words import gram_hashes, mix, ragged, word_hashes
 
 MIN_WORDS = 50
@@ -97,15 +98,19 @@ def features(docs: DataFrame, stratum: str = "lang", id_col: str = "doc_id", tex
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"),
                     F.col(text_col).alias("text")),
         kernel, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines", "text_hash"]))
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return raw.select(
-        "*", (F.col("n_symbols") / words).alias("symbol_share"), (F.col("n_repeat_words") / words).alias("repeat_share"),
-        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_share"),
-        (F.col("word_chars") / words).alias("mean_word_chars"), base_failed().alias("base_failed"))
+    return raw.select("*", *[c.alias(r) for r, c in shares().items()], base_failed().alias("base_failed"))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def shares(at: str = "") -> dict[str, Column]:
+    """The rules' shares from the counts (``at``: prefix of the count columns)."""
+    words = F.greatest(F.col(at + "n_words"), F.lit(1))
+    return {"symbol_share": F.col(at + "n_symbols") / words, "repeat_share": F.col(at + "n_repeat_words") / words,
+            "dup_line_share": F.col(at + "n_dup_lines") / F.greatest(F.col(at + "n_lines"), F.lit(1)),
+            "mean_word_chars": F.col(at + "word_chars") / words}
+
+
+def base_failed(at: str = "") -> Column:
+    return (F.col(at + "n_words") < MIN_WORDS) | (100 * F.col(at + "n_repeat_words") > 50 * F.col(at + "n_words"))
 
 
 def binom_cdf(k: int, n: int, p: float) -> float:
@@ -195,3 +200,26 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     """doc_id, the counts, base_failed and kept, one row per document row."""
     feats = cut_lineage(features(docs, stratum))
     return judge(feats, risk_cutoffs(feats, labels, alpha, delta)).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, all columns; texts are not shuffled."""
+    cutoffs = risk_cutoffs(cut_lineage(features(docs, stratum, id_col, text_col)), labels, alpha, delta)
+    names = [*COUNTS, "n_lines"]
+    kind = pa.struct([(c, pa.int64()) for c in names])
+    at = docs.columns.index(text_col)
+
+    def count(batches):
+        for b in slices(batches):
+            c = text_counts(b.column(at).to_pylist())
+            new = pa.StructArray.from_arrays([pa.array(c[n], pa.int64()) for n in names], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*b.columns, new], schema=b.schema.append(pa.field("_counts", kind)))
+
+    counted = docs.mapInArrow(count, with_column_schema(docs, "_counts", "struct<" + ",".join(f"{n}:long" for n in names) + ">"))
+    cut = cutoffs.select(F.struct("*").alias("_cut"))
+    good = ~base_failed("_counts.")
+    for rule, share in shares("_counts.").items():
+        good = good & ~F.coalesce(share >= F.col(f"_cut.cut_{rule}"), F.lit(False))
+    return (counted.join(cut, F.col(stratum).cast("string").eqNullSafe(F.col("_cut.stratum")), "left").filter(good)
+            .select(*docs.columns))
