@@ -50,8 +50,8 @@ def topic_of(text: Column) -> Column:
 def tempered(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
     """(value, share): token shares to the power ``alpha``, scaled to one."""
     m = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).select(F.col(dim).alias("value"), F.pow(F.col("t").cast("double"), alpha).alias("p"))
-    total = m.agg(F.sum("p").alias("total"))
-    return m.join(F.broadcast(total)).select("value", F.when(F.col("total") > 0, F.col("p") / F.col("total")).otherwise(0.0).alias("share"))
+    total = m.agg(F.sum("p")).first()[0] or 1.0
+    return m.select("value", (F.col("p") / total).alias("share"))
 
 
 def fit(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:

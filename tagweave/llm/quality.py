@@ -32,6 +32,7 @@ from .common import arrow_map, cut_lineage, slices, with_column_schema
 from .words import gram_hashes, mix, ragged, word_hashes
 
 MIN_WORDS = 50
+SLICE = 2 << 20   # bytes of text per kernel call: its work arrays take some 50 times that
 ALPHA, DELTA = 0.05, 0.05
 #: rule -> cutoffs, most lenient first
 GRIDS: dict[str, list[float]] = {
@@ -97,7 +98,8 @@ def features(docs: DataFrame, stratum: str = "lang", id_col: str = "doc_id", tex
     raw = arrow_map(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"),
                     F.col(text_col).alias("text")),
-        kernel, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines", "text_hash"]))
+        kernel, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines", "text_hash"]),
+        SLICE)
     return raw.select("*", *[c.alias(r) for r, c in shares().items()], base_failed().alias("base_failed"))
 
 
@@ -211,7 +213,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     at = docs.columns.index(text_col)
 
     def count(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             c = text_counts(b.column(at).to_pylist())
             new = pa.StructArray.from_arrays([pa.array(c[n], pa.int64()) for n in names], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*b.columns, new], schema=b.schema.append(pa.field("_counts", kind)))
