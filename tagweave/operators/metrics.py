@@ -173,6 +173,11 @@ def subgroup_status(truth: DataFrame, pred: DataFrame, meta: DataFrame | None,
 
 def metric_suite(truth: DataFrame, pred: DataFrame, meta: DataFrame | None = None,
                  classes: DataFrame | None = None, subgroup: str = SUBGROUP_FUNDER) -> DataFrame:
-    """All six prefixes' summary rows from one grouped pass."""
-    scopes = ("all", "sub") if meta is not None else ("all",)
-    return summary(per_label(truth, pred, meta, classes, subgroup, scopes))
+    """All six prefixes' summary rows from one grouped pass.
+
+    The three subgroup prefixes appear only when :func:`subgroup_status` says
+    ``computed``: an empty subgroup or rows without metadata give no subgroup scores.
+    """
+    computed = meta is not None and subgroup_status(truth, pred, meta, subgroup=subgroup).first()["status"] == "computed"
+    scopes = ("all", "sub") if computed else ("all",)
+    return summary(per_label(truth, pred, meta if computed else None, classes, subgroup, scopes))

@@ -6,7 +6,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,50 +98,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SPREAD: dict[tuple, DataFrame] = {}
-
-
-def spread_small_input(df: DataFrame, key: tuple | None = None, min_bytes: int = 4 << 20,
-                       max_bytes: int = 8 << 30) -> DataFrame:
-    """Spread a table that arrives as fewer files than task slots.
-
-    A single large parquet row group is read by one task however the scan
-    is split, so per-row work (regexes over long texts) would run on one
-    core.  A plain ``repartition`` does not help: Catalyst pushes downstream
-    filters (with their expressions) below the exchange, back into the one
-    scan task.  The spread copy is therefore written as a table (one file
-    per core) into the shared checkpoint folder and reused per (path,
-    columns) within the session; reads of it keep pruning and pushdown.
-
-    It only fires for local files below ``max_bytes`` in fewer files than the
-    default parallelism; a 100 TB table in thousands of files is returned
-    untouched.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= par:
-        return df
-    try:
-        size = sum(os.path.getsize(urlparse(f).path) for f in files)
-    except OSError:
-        return df
-    if size < min_bytes or size > max_bytes:
-        return df
-    k = (spark.sparkContext.applicationId, key)
-    if key is not None and k in _SPREAD:
-        return _SPREAD[k]
-    out = cut_lineage(df.repartition(par))
-    if key is not None:
-        _SPREAD[k] = out
-    return out
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
-    """Read one driver table (only ``columns`` when given), spread if small."""
-    path = table_path(sf_dir, name)
-    df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    return spread_small_input(df, key=(path, tuple(columns or ())))
+    """Read one table (only ``columns`` when given): a plain scan."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return df.select(*columns) if columns else df

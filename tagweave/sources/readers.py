@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,13 @@ def combine_survey_years(years: list[DataFrame]) -> DataFrame:
     """U1 -> W1 -> C11 -> C12 -> A10 -> P4 over the yearly frames.
 
     W1 keeps the newest year per (funder, reference), ties by sheet row.  It
-    is a hash aggregate with ``max_by`` rather than a window, so a hot key is
+    is an aggregate with ``max_by`` rather than a window, so a hot key is
     reduced map-side before the shuffle instead of being sorted in one task.
     """
-    latest = latest_per_key(union_years(years), ["FundingOrganisation", "OrganisationReference"],
-                            ["year", "sheet_row"])
+    rows = union_years(years)
+    if "sheet_row" not in rows.columns:   # a real sheet has no row numbers: ties go by a hash of the texts
+        rows = rows.withColumn("sheet_row", F.xxhash64(*BASE_COLS).bitwiseAND(F.lit((1 << 49) - 1)))
+    latest = latest_per_key(rows, ["FundingOrganisation", "OrganisationReference"], ["year", "sheet_row"])
     numeric = {f.name for f in latest.schema.fields
                if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     hc_cols = _prefix_cols(latest.columns, "HC")
@@ -103,9 +105,18 @@ def read_second_source(raw: DataFrame, apply_placeholder_nulls: bool = False) ->
         F.lit(SECOND_SOURCE_FUNDER).alias("FundingOrganisation"), "OrganisationReference",
         "AwardTitle", "AwardAbstract", "RA", "RA_top", "HC",
         F.lit(1).alias("src_rank"), F.lit(0).alias("src_year"),
-        F.col("OrganisationReference").try_cast("bigint").alias("src_row"))
+        second_source_row().alias("src_row"))
 
 
+def second_source_row() -> Column:
+    """Row number of a second-source record, never null: its reference when that is a
+    number under 10**10, else a 61-bit hash of reference and texts above all of those."""
+    number = F.col("OrganisationReference").try_cast("bigint")
+    hashed = F.xxhash64("OrganisationReference", "AwardTitle", "AwardAbstract").bitwiseAND(F.lit((1 << 61) - 1))
+    return F.when(number.between(0, SECOND_ROW_LIMIT - 1), number).otherwise(hashed + F.lit(SECOND_ROW_LIMIT))
+
+
+SECOND_ROW_LIMIT = 10 ** 10
 LABEL_DICTS = {"long": LABELS_LONG, "short": LABELS_SHORT, "tiny": LABELS_TINY}
 
 
