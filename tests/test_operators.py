@@ -137,6 +137,27 @@ def test_hot_bucket_survivors_equal_sequential_walk(spark):
     assert len(want) < len(texts)
 
 
+def test_boilerplate_bucket_is_settled_in_few_rounds(spark, monkeypatch):
+    # Texts that share a long header but are no near-copies, and a cluster of near-copies among them.
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    header = " ".join(rnd.choice(words) for _ in range(60))
+    texts = [header + " " + " ".join(rnd.choice(words) for _ in range(60)) for _ in range(250)]
+    copied = texts[100]
+    texts[101:250:3] = [f"{copied} x{i}" for i in range(len(texts[101:250:3]))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [set(ND._char_shingles(t, 9).tolist()) for t in texts]
+    pairs = [(i, k) for i, k in itertools.combinations(range(len(texts)), 2)
+             if len(sets[i] & sets[k]) >= 0.6 * len(sets[i] | sets[k])]
+    want = _sequential_walk(list(range(len(texts))), pairs)
+    rounds = []
+    real = ND.cut_lineage
+    monkeypatch.setattr(ND, "cut_lineage", lambda d: rounds.append(1) or real(d))
+    got = {r["id"] for r in ND.near_dup_keep(df, "id", "text").collect()}
+    assert got == want and 150 < len(want) < 250
+    assert len(rounds) < 60  # about five tables a round
+
+
 def test_star_jaccard_equals_pairwise(spark):
     texts = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta iota",
              "completely unrelated words in this one", "alpha beta gamma"]
