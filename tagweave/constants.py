@@ -211,15 +211,6 @@ SECOND_SOURCE_RENAMES = {
 OUT_OF_SCOPE_CODES = ["9.1", "9.2"]
 PLACEHOLDER_HC = ["Awaiting Health Category Coding", "Will Not Be Health Category Coded"]
 SUBGROUP_FUNDER = "Wellcome Trust"
-SPLIT_CATEGORIES = ["RA", "RA_top", "HC"]
-METRIC_PREFIXES = {
-    ("detail", "all"): "",
-    ("parent", "all"): "parent_",
-    ("super", "all"): "super_parent_",
-    ("detail", "sub"): "wellcome_",
-    ("parent", "sub"): "parent_wellcome_",
-    ("super", "sub"): "super_parent_wellcome_",
-}
 
 # Characters removed from the left of a cleaned column: ASCII punctuation
 # followed by ASCII whitespace.
@@ -253,5 +244,3 @@ DEMO_ABSTRACT_RULES = {
     ],
     "boiler_plate": ["the ", "and ", "is ", "[0-9]+ "],
 }
-
-DEMO_TEXT_RULES = {"title": DEMO_TITLE_RULES, "abstract": DEMO_ABSTRACT_RULES}

@@ -67,13 +67,11 @@ def blank_listed(c: str | Column, phrases: list[str]) -> Column:
 
 
 def no_listed_prefix(c: str | Column, prefixes: list[str]) -> Column:
-    """true unless the lower-cased (unstripped) text starts with a prefix."""
+    """true unless the lower-cased (unstripped) text starts with a prefix; true for null."""
     if not prefixes:
         return F.lit(True)
-    # Only the head can match: lower-case a bounded prefix, not the document
-    # (16 extra characters keep context-dependent lower-casing exact).
-    head = F.lower(F.substring(_col(c), 1, max(len(p) for p in prefixes) + 16))
-    return ~reduce(lambda a, b: a | b, [head.startswith(p) for p in prefixes])
+    text = F.lower(_col(c))
+    return ~F.coalesce(reduce(lambda a, b: a | b, [text.startswith(p) for p in prefixes]), F.lit(False))
 
 
 def strip_boilerplate(c: str | Column, patterns: list[str], word_boundary: bool = False,

@@ -19,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS_LONG, LABELS_SHORT, LABELS_TINY, SUBGROUP_FUNDER, SUPER_GROUPS
+from ..constants import (FLAT_THRESHOLD, LABELS_LONG, LABELS_SHORT, LABELS_TINY, RANK_THRESHOLDS,
+                         SUBGROUP_FUNDER, SUPER_GROUPS)
 from ..functions.tags import label_parent
+from .ranking import flat_threshold_tags, rank_threshold_tags
 
 LEVELS = ("detail", "parent", "super")
 PREFIX = {("detail", "all"): "", ("parent", "all"): "parent_", ("super", "all"): "super_parent_",
@@ -181,3 +183,21 @@ def metric_suite(truth: DataFrame, pred: DataFrame, meta: DataFrame | None = Non
     computed = meta is not None and subgroup_status(truth, pred, meta, subgroup=subgroup).first()["status"] == "computed"
     scopes = ("all", "sub") if computed else ("all",)
     return summary(per_label(truth, pred, meta if computed else None, classes, subgroup, scopes))
+
+
+def evaluate(scores: DataFrame, truth: DataFrame, labels: list[str], rank_weighting: bool = True,
+             meta: DataFrame | None = None, subgroup: str = SUBGROUP_FUNDER,
+             thresholds: list[float] = RANK_THRESHOLDS, flat: float = FLAT_THRESHOLD) -> DataFrame:
+    """M8: (row_id, scores) -> tags -> metric suite over ``labels`` at all levels.
+
+    Tags come from the rank thresholds, or from the one threshold ``flat``
+    when ``rank_weighting`` is off.  With ``meta`` the subgroup's scores are
+    added if its status is ``computed``.
+    """
+    tagged = (rank_threshold_tags(scores, "scores", "tags", thresholds) if rank_weighting
+              else flat_threshold_tags(scores, "scores", "tags", flat))
+    names = F.array(*[F.lit(x) for x in labels])
+    pred = tagged.select("row_id", F.explode("tags").alias("i")).select(
+        "row_id", F.element_at(names, F.col("i") + 1).alias("label"))
+    classes = scores.sparkSession.createDataFrame([(x,) for x in labels], "key string")
+    return metric_suite(truth, pred, meta, classes, subgroup)

@@ -16,12 +16,14 @@ is thus ranked by thousands of tasks.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TEST_SHARE
+from .labels import binarise, class_list
 
 SUB_BUCKET_HEX = 3  # 4096 sub-buckets per stratum
 
@@ -97,9 +99,10 @@ def split_with_meta(df: DataFrame, labels_col: str, meta_cols: list[str],
 def split_categories(df: DataFrame, categories: list[str], id_col: str = "row_id",
                      text_col: str = "AllText", meta_cols: list[str] = ("FundingOrganisation",),
                      test_share: float = TEST_SHARE, seed: int = 10,
-                     cased: bool = False) -> DataFrame:
+                     cased: bool = False, splitter: Callable[..., DataFrame] | None = None) -> DataFrame:
     """One split per category over one input, as a single plan with a
-    ``category`` column.  The input is read by every category twice (split
+    ``category`` column.  ``splitter`` is :func:`split_rarest` (one pass) or
+    :func:`split_iterative` (closer shares per label, one round per label).  The input is read by every category twice (split
     and payload), so it is materialised once as a table in the checkpoint
     folder instead of being recomputed per branch."""
     from ..session import cut_lineage
@@ -107,7 +110,7 @@ def split_categories(df: DataFrame, categories: list[str], id_col: str = "row_id
     text = F.col(text_col) if cased else F.lower(F.col(text_col))
     parts = []
     for cat in categories:
-        s = split_rarest(df, cat, id_col, test_share, seed)
+        s = (splitter or split_rarest)(df, cat, id_col, test_share, seed).select(id_col, "split")
         parts.append(
             df.select(id_col, text.alias("text"), F.col(cat).alias("labels"), *meta_cols)
               .join(s, id_col).withColumn("category", F.lit(cat.lower())))
@@ -122,6 +125,17 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("category", "split").parquet(path)
 
 
+def write_export(df: DataFrame, labels_col: str, path: str, text_col: str, meta_cols: list[str],
+                 id_col: str = "row_id", splitter: Callable[..., DataFrame] | None = None, **split_opts) -> None:
+    """``data`` (row id, one 0/1 column per sorted class, text last),
+    partitioned by split, and ``meta`` (row id and metadata), below a new path."""
+    classes = class_list(df, labels_col)
+    s = (splitter or split_rarest)(df, labels_col, id_col, **split_opts).select(id_col, "split")
+    rows = df.join(s, id_col)
+    binarise(rows, labels_col, classes, [id_col, "split"], text_col).write.mode("error").partitionBy("split").parquet(f"{path}/data")
+    df.filter(F.col(labels_col).isNotNull()).select(id_col, *meta_cols).write.mode("error").parquet(f"{path}/meta")
+
+
 NEED_LEVELS = 10_000
 
 

@@ -8,6 +8,7 @@ compare by value with the SQL twins in ``oracle``.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from ..operators import ranking as RK
 from ..operators import split as SP
 from ..sources import adapters as AD
 from ..sources import readers as RD
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, read_table
 
 DEMO_FUNDER = "src3"
+RULES = {"AwardTitle": DEMO_TITLE_RULES, "AwardAbstract": DEMO_ABSTRACT_RULES}
+DEMO_PREFIXES = ["the ", "and "]  # abstract prefixes for the filter's own query; the rule list has none
 DOWNSAMPLE_TARGET = ["4.2"]
 DOWNSAMPLE_N = 10
 
@@ -49,35 +52,38 @@ def q_clean_ws(spark, sf):
 
 def q_clean_boilerplate(spark, sf):
     r = AD.records(spark, sf)
-    return r.select("doc_id", TX.strip_boilerplate("AwardTitle", DEMO_TITLE_RULES["boiler_plate"])
-                    .alias("title_bp"))
+    return r.select("doc_id", *[TX.strip_boilerplate(c, rules["boiler_plate"]).alias(c) for c, rules in RULES.items()])
 
 
 def q_clean_lstrip(spark, sf):
     r = AD.records(spark, sf)
-    bp = TX.strip_boilerplate("AwardTitle", DEMO_TITLE_RULES["boiler_plate"])
-    return r.select("doc_id", TX.lstrip_punct(bp).alias("title_lstrip"))
+    return r.select("doc_id", *[TX.lstrip_punct(TX.strip_boilerplate(c, rules["boiler_plate"])).alias(c)
+                                for c, rules in RULES.items()])
 
 
 def q_clean_drop_phrases(spark, sf):
     r = AD.records(spark, sf)
-    return r.filter(TX.not_in_list("AwardTitle", DEMO_TITLE_RULES["drop"])).select("doc_id", "AwardTitle")
+    for c, rules in RULES.items():
+        r = r.filter(TX.not_in_list(c, rules["drop"]))
+    return r.select("doc_id", *RULES)
 
 
 def q_clean_null_phrases(spark, sf):
     r = AD.records(spark, sf)
-    return r.select("doc_id", TX.blank_listed("AwardAbstract", DEMO_ABSTRACT_RULES["nulls"])
-                    .alias("AwardAbstract"))
+    return r.select("doc_id", *[TX.blank_listed(c, rules["nulls"]).alias(c) for c, rules in RULES.items()])
 
 
 def q_clean_prefix_filter(spark, sf):
     r = AD.records(spark, sf)
-    return r.filter(TX.no_listed_prefix("AwardTitle", DEMO_TITLE_RULES["prefixes"])).select("doc_id")
+    return r.filter(TX.no_listed_prefix("AwardTitle", DEMO_TITLE_RULES["prefixes"])
+                    & TX.no_listed_prefix("AwardAbstract", DEMO_PREFIXES)).select("doc_id")
 
 
 def q_clean_text_column(spark, sf):
     r = AD.records(spark, sf)
-    return TX.clean_text_column(r, "AwardTitle", DEMO_TITLE_RULES).select("doc_id", "AwardTitle")
+    for c, rules in RULES.items():
+        r = TX.clean_text_column(r, c, rules)
+    return r.select("doc_id", *RULES)
 
 
 def _processed(spark, sf) -> DataFrame:
@@ -106,8 +112,11 @@ def q_source_counts(spark, sf):
 
 # ---------------------------------------------------------------- sources
 
+YEARS = (2014, 2018, 2022)
+
+
 def _survey(spark, sf) -> DataFrame:
-    years = [RD.read_survey_year(AD.survey_sheet(spark, sf, y), y) for y in (2014, 2018, 2022)]
+    years = [RD.read_survey_year(AD.survey_sheet(spark, sf, y), y) for y in YEARS]
     return RD.combine_survey_years(years)
 
 
@@ -116,7 +125,14 @@ def _second(spark, sf) -> DataFrame:
 
 
 def q_src_survey_year(spark, sf):
-    return RD.read_survey_year(AD.survey_sheet(spark, sf, 2018), 2018)
+    """Each sheet as read (its own tag columns, joined here to one string), percentages gone."""
+    parts = []
+    for y in YEARS:
+        s = RD.read_survey_year(AD.survey_sheet(spark, sf, y), y)
+        joined = [F.concat_ws("|", *RD.tag_columns(s.columns, m)).alias(m[:2]) for m in ("RA_", "HC_")]
+        parts.append(s.select("FundingOrganisation", "OrganisationReference", "AwardTitle", "AwardAbstract",
+                              *joined, "sheet_row", "year"))
+    return RD.union_years(parts)
 
 
 def q_survey_combined(spark, sf):
@@ -128,7 +144,7 @@ def q_survey_combined(spark, sf):
 
 def q_latest_per_key(spark, sf):
     """W1 alone: newest year per (funder, reference) over the three sheets."""
-    years = [RD.read_survey_year(AD.survey_sheet(spark, sf, y), y) for y in (2014, 2018, 2022)]
+    years = [RD.read_survey_year(AD.survey_sheet(spark, sf, y), y) for y in YEARS]
     latest = DD.latest_per_key(RD.union_years(years), ["FundingOrganisation", "OrganisationReference"],
                                ["year", "sheet_row"])
     return latest.select("FundingOrganisation", "OrganisationReference", "year", "sheet_row")
@@ -170,9 +186,9 @@ def q_pre_clean(spark, sf):
     return p.select("index", "FundingOrganisation", "OrganisationReference")
 
 
-def build_clean(spark, sf, near_dup: bool = True) -> DataFrame:
+def build_clean(spark, sf, near_dup: bool = True, pre_clean: DataFrame | None = None) -> DataFrame:
     """The whole build step: combine -> pre_clean -> clean texts -> dedup -> HC rename."""
-    p = CB.pre_clean(_combined(spark, sf))
+    p = pre_clean if pre_clean is not None else CB.pre_clean(_combined(spark, sf))
     t = TX.process_texts(p, title_rules=DEMO_TITLE_RULES, abstract_rules=DEMO_ABSTRACT_RULES)
     if near_dup:
         t = ND.dedup_full(t, "index", "AllText", ("index",))
@@ -181,8 +197,23 @@ def build_clean(spark, sf, near_dup: bool = True) -> DataFrame:
     return t.withColumn("HC", TG.normalise_tags("HC"))
 
 
+def new_path(spark, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_build(spark, sf, path: str) -> None:
+    """S3: ``pre_clean`` and ``clean`` written below a new path (an existing one is an error)."""
+    CB.pre_clean(_combined(spark, sf)).write.mode("error").parquet(f"{path}/pre_clean")
+    p = spark.read.parquet(f"{path}/pre_clean")
+    build_clean(spark, sf, pre_clean=p).write.mode("error").parquet(f"{path}/clean")
+
+
 def q_build_clean(spark, sf):
-    b = build_clean(spark, sf)
+    """S3: the build step, written and read back."""
+    path = new_path(spark, "build")
+    write_build(spark, sf, path)
+    b = spark.read.parquet(f"{path}/clean")
     return b.select("index", "FundingOrganisation", "AllText", _j("RA").alias("RA"),
                     _j("HC").alias("HC"))
 
@@ -205,16 +236,21 @@ def q_tag_normalise(spark, sf):
 
 
 def q_wide_to_list(spark, sf):
-    sh = AD.survey_sheet(spark, sf, 2022)
-    ra = [f"RA_{i}" for i in range(1, 7)]
-    hc = [f"HC_{i}" for i in range(1, 4)]
-    return sh.select("sheet_row", _j(TG.wide_to_list(ra)).alias("ra"), _j(TG.wide_to_list(hc)).alias("hc"))
+    parts = []
+    for sh in (AD.survey_sheet(spark, sf, y) for y in YEARS):
+        ra, hc = (RD.tag_columns(sh.columns, m) for m in ("RA_", "HC_"))
+        parts.append(sh.select("sheet_row", _j(TG.wide_to_list(ra)).alias("ra"), _j(TG.wide_to_list(hc)).alias("hc")))
+    return RD.union_years(parts)
 
 
 def q_tag_truncate(spark, sf):
-    sh = AD.survey_sheet(spark, sf, 2014)
-    ra = [f"RA_{i}" for i in range(1, 5)]
-    return sh.select("sheet_row", _j(TG.truncate_codes(TG.wide_to_list(ra, set(ra)))).alias("ra"))
+    parts = []
+    for y in YEARS:
+        sh = AD.survey_sheet(spark, sf, y)
+        ra = RD.tag_columns(sh.columns, "RA_")
+        numeric = set(ra) if y == YEARS[0] else None
+        parts.append(sh.select("sheet_row", _j(TG.truncate_codes(TG.wide_to_list(ra, numeric))).alias("ra")))
+    return RD.union_years(parts)
 
 
 def q_tag_top_level(spark, sf):
@@ -276,8 +312,11 @@ def q_binarise_labels(spark, sf):
 
 
 def q_downsample_tag(spark, sf):
+    """The down-sampled table, written to a new path and read back."""
     lt = AD.line_tags(spark, sf)
-    return LB.downsample(lt, "codes", DOWNSAMPLE_TARGET, DOWNSAMPLE_N, seed=2).select("row_id")
+    out = new_path(spark, "downsampled")
+    LB.downsample(lt, "codes", DOWNSAMPLE_TARGET, DOWNSAMPLE_N, seed=2).write.mode("error").parquet(out)
+    return spark.read.parquet(out).select("row_id")
 
 
 def _tagged_scores(spark, sf) -> DataFrame:
@@ -376,21 +415,18 @@ def eval_truth(spark, sf) -> DataFrame:
         "row_id", F.element_at(codes, F.col("i") + 1).alias("label"))
 
 
-def evaluate(spark, sf, thresholds=None) -> DataFrame:
-    """M8: scores -> rank-threshold tags -> metric suite (all levels)."""
-    from ..constants import RANK_THRESHOLDS
-    tagged = RK.rank_threshold_tags(AD.scores_wide(spark, sf), "scores", "tags",
-                                    thresholds or RANK_THRESHOLDS)
-    codes = F.array(*[F.lit(n.split(":")[0]) for n in LABELS_LONG])
-    pred = tagged.select("row_id", F.explode("tags").alias("i")).select(
-        "row_id", F.element_at(codes, F.col("i") + 1).alias("label"))
-    truth = eval_truth(spark, sf)
-    classes = spark.createDataFrame([(n.split(":")[0],) for n in LABELS_LONG], "key string")
-    return MT.metric_suite(truth, pred, classes=classes)
+CODES = [n.split(":")[0] for n in LABELS_LONG]
 
 
 def q_evaluate(spark, sf):
-    return _summary_cols(evaluate(spark, sf))
+    """M8: rank thresholds, all levels, with the subgroup."""
+    return _summary_cols(MT.evaluate(AD.scores_wide(spark, sf), eval_truth(spark, sf), CODES,
+                                     meta=AD.eval_meta(spark, sf)))
+
+
+def q_evaluate_flat(spark, sf):
+    """M8 with rank weighting off: one threshold for all labels, no metadata."""
+    return _summary_cols(MT.evaluate(AD.scores_wide(spark, sf), eval_truth(spark, sf), CODES, rank_weighting=False))
 
 
 # ---------------------------------------------------------------- split
@@ -420,9 +456,9 @@ def q_split_meta(spark, sf):
 
 def q_split_categories(spark, sf):
     lt = AD.line_tags(spark, sf)
-    d = AD.records(spark, sf)
+    d = _processed(spark, sf)
     base = (d.join(lt, d.doc_id == lt.row_id)
-             .select("row_id", "FundingOrganisation", F.col("AwardTitle").alias("AllText"),
+             .select("row_id", "FundingOrganisation", "AllText",
                      F.col("codes").alias("RA"), TG.top_level("codes").alias("RA_top"),
                      TG.normalise_tags("hcs").alias("HC")))
     s = SP.split_categories(base, ["RA", "RA_top", "HC"])
@@ -431,15 +467,23 @@ def q_split_categories(spark, sf):
 
 def q_split_write(spark, sf):
     """The three-category split written once, partitioned by (category, split), read back."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    out = new_path(spark, "splits")
     SP.write_splits(q_split_categories(spark, sf), out)
     back = spark.read.parquet(out)
     return back.select("category", "split", "row_id", "FundingOrganisation", "text", "labels")
 
 
+def q_split_export(spark, sf):
+    """Indicator columns of the sorted classes, lower-cased text last; written by split and read back."""
+    d, lt = _processed(spark, sf), AD.line_tags(spark, sf)
+    rows = d.join(lt, d.doc_id == lt.row_id).select("row_id", "FundingOrganisation", "codes",
+                                                    F.lower("AllText").alias("AllText"))
+    out = new_path(spark, "export")
+    SP.write_export(rows, "codes", out, "AllText", ["FundingOrganisation"])
+    meta = spark.read.parquet(f"{out}/meta")
+    return spark.read.parquet(f"{out}/data").join(meta, "row_id")
+
+
 # ---------------------------------------------------------------- near duplicates
 
 def _distinct_texts(spark, sf) -> DataFrame:
@@ -479,12 +523,12 @@ def q_score_batch(spark, sf):
 
 
 def q_fit_tagger(spark, sf):
-    """M7: fit on the labelled documents, score them, tag them (rows-only check)."""
+    """M7: fit on the labelled documents, score and tag all documents (rows-only check)."""
     from ..streaming.tagger import fit_tagger
     df = AD.two_label(spark, sf)
     labels = ["quality", "toxic"]
     model = fit_tagger(df, "text", "tags", labels, num_features=1 << 14, max_iter=10)
-    scored = model.transform(df, "text", "doc_id")
+    scored = model.transform(read_table(spark, sf, "documents", ["doc_id", "text"]).fillna("", "text"), "text", "doc_id")
     tagged = RK.rank_threshold_tags(scored, "scores", "tags", thresholds=[0.5, 0.5])
     return tagged.select("doc_id", _j(F.transform("tags", lambda i: F.element_at(
         F.array(*[F.lit(x) for x in labels]), i + 1))).alias("tags"))
@@ -492,9 +536,6 @@ def q_fit_tagger(spark, sf):
 
 def q_stream_tag(spark, sf):
     """The tagging stream over the documents file, run to completion."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
     from ..streaming.scoring import hashed_linear_scorer
     from ..streaming.stream import run_stream
     base = ensure_checkpoint_dir(spark)

@@ -129,8 +129,12 @@ SCORES_LONG = """scores_long AS (
   FROM scores, range(1, 49) r(i))"""
 
 
+# The Spark sheets are as wide as their fullest row; null columns beyond that change no list.
+SHEET_COLUMNS = 24
+
+
 def survey_sheet(year: int) -> str:
-    n_ra, n_hc = (4, 2) if year == 2014 else (6, 3)
+    n_ra = n_hc = SHEET_COLUMNS
     cols = ["r.FundingOrganisation"]
     if year == 2014:
         cols += ["r.OrganisationReference AS GrantCode_Public", "r.AwardTitle AS Title_Public",
@@ -152,7 +156,7 @@ def survey_sheet(year: int) -> str:
 
 
 def survey_year(year: int) -> str:
-    n_ra, n_hc = (4, 2) if year == 2014 else (6, 3)
+    n_ra = n_hc = SHEET_COLUMNS
     ra = [f"CAST(RA_{i} AS VARCHAR) AS RA_{i}" for i in range(1, n_ra + 1)]
     hc = [f"HC_{i}" for i in range(1, n_hc + 1)]
     if year == 2014:
@@ -184,9 +188,9 @@ survey_latest AS (
                              ORDER BY year DESC, sheet_row DESC) = 1),
 survey_lists AS (
   SELECT FundingOrganisation, OrganisationReference, AwardTitle, AwardAbstract,
-    list_transform(list_filter({_nonnull([f'RA_{i}' for i in range(1, 7)])}, lambda x: {_ws_nonblank('x')}),
+    list_transform(list_filter({_nonnull([f'RA_{i}' for i in range(1, SHEET_COLUMNS + 1)])}, lambda x: {_ws_nonblank('x')}),
                    lambda x: substring(x, 1, 3)) AS RA,
-    {_nonnull([f'HC_{i}' for i in range(1, 4)])} AS HC,
+    {_nonnull([f'HC_{i}' for i in range(1, SHEET_COLUMNS + 1)])} AS HC,
     year AS src_year, CAST(sheet_row AS BIGINT) AS src_row
   FROM survey_latest),
 survey AS (
@@ -199,7 +203,7 @@ survey AS (
 RAW2 = f"""raw2 AS (
   SELECT CAST(r.doc_id AS VARCHAR) AS project_id, r.AwardTitle AS project_title,
     r.AwardAbstract AS scientific_abstract,
-    array_to_string(t.hcs, ',') AS ukcrc_value,
+    CASE WHEN len(t.hcs) <= 2 THEN {lst(PLACEHOLDER_HC)}[len(t.hcs)] ELSE array_to_string(t.hcs, ',') END AS ukcrc_value,
     CASE WHEN r.lang = 'de' THEN 'None/' || array_to_string(list_transform(t.codes9, lambda c: substring(c, 1, 1) || ' Group'), ' / ')
          ELSE array_to_string(list_transform(t.codes9, lambda c: substring(c, 1, 1) || ' Group'), ' / ') END AS hrcs_rac_category,
     CASE WHEN r.lang = 'es' THEN replace(array_to_string(list_transform(t.codes9, lambda c: c || ' Activity'), '/'), '/', ' / ')
@@ -424,15 +428,21 @@ def build() -> dict[str, str]:
     R = with_(RECORDS)
     tbp = DEMO_TITLE_RULES["boiler_plate"]
     q["clean_ws"] = f"SELECT doc_id, {collapse('text')} AS text_ws FROM documents"
-    q["clean_boilerplate"] = R + f"SELECT doc_id, {boiler('AwardTitle', tbp)} AS title_bp FROM records"
-    q["clean_lstrip"] = R + f"SELECT doc_id, {lstrip_p(boiler('AwardTitle', tbp))} AS title_lstrip FROM records"
-    q["clean_drop_phrases"] = R + (f"SELECT doc_id, AwardTitle FROM records WHERE "
-                                   f"{not_in('AwardTitle', DEMO_TITLE_RULES['drop'])}")
-    q["clean_null_phrases"] = R + (f"SELECT doc_id, {blank('AwardAbstract', DEMO_ABSTRACT_RULES['nulls'])} "
-                                   f"AS AwardAbstract FROM records")
+    abp = DEMO_ABSTRACT_RULES["boiler_plate"]
+    q["clean_boilerplate"] = R + (f"SELECT doc_id, {boiler('AwardTitle', tbp)} AS AwardTitle, "
+                                  f"{boiler('AwardAbstract', abp)} AS AwardAbstract FROM records")
+    q["clean_lstrip"] = R + (f"SELECT doc_id, {lstrip_p(boiler('AwardTitle', tbp))} AS AwardTitle, "
+                             f"{lstrip_p(boiler('AwardAbstract', abp))} AS AwardAbstract FROM records")
+    q["clean_drop_phrases"] = R + (f"SELECT doc_id, AwardTitle, AwardAbstract FROM records WHERE "
+                                   f"{not_in('AwardTitle', DEMO_TITLE_RULES['drop'])} AND "
+                                   f"{not_in('AwardAbstract', DEMO_ABSTRACT_RULES['drop'])}")
+    q["clean_null_phrases"] = R + (f"SELECT doc_id, {blank('AwardTitle', DEMO_TITLE_RULES['nulls'])} AS AwardTitle, "
+                                   f"{blank('AwardAbstract', DEMO_ABSTRACT_RULES['nulls'])} AS AwardAbstract FROM records")
     q["clean_prefix_filter"] = R + (f"SELECT doc_id FROM records WHERE "
-                                    f"{no_prefix('AwardTitle', DEMO_TITLE_RULES['prefixes'])}")
-    q["clean_text_column"] = R + f"SELECT doc_id, AwardTitle FROM {clean_stage('records', 'AwardTitle', DEMO_TITLE_RULES)}"
+                                    f"coalesce({no_prefix('AwardTitle', DEMO_TITLE_RULES['prefixes'])}, TRUE) AND "
+                                    f"coalesce({no_prefix('AwardAbstract', ['the ', 'and '])}, TRUE)")
+    q["clean_text_column"] = R + ("SELECT doc_id, AwardTitle, AwardAbstract FROM " + clean_stage(
+        clean_stage("records", "AwardTitle", DEMO_TITLE_RULES), "AwardAbstract", DEMO_ABSTRACT_RULES))
     q["process_texts"] = R + f"SELECT doc_id, AllText FROM {processed()}"
     q["split_text_lower"] = R + f"SELECT doc_id, lower(AllText) AS text FROM {processed()}"
     dedup = (f"(SELECT * FROM {processed()} QUALIFY row_number() OVER "
@@ -442,7 +452,10 @@ def build() -> dict[str, str]:
                               f"FROM {dedup} GROUP BY FundingOrganisation")
 
     RL = with_(RECORDS, LINE_TAGS)
-    q["src_survey_year"] = RL + f"SELECT * FROM {survey_year(2018)}"
+    cells = {m: ", ".join(f"{m}_{i}" for i in range(1, SHEET_COLUMNS + 1)) for m in ("RA", "HC")}
+    q["src_survey_year"] = RL + " UNION ALL ".join(
+        f"SELECT FundingOrganisation, OrganisationReference, AwardTitle, AwardAbstract, concat_ws('|', {cells['RA']}) AS RA, "
+        f"concat_ws('|', {cells['HC']}) AS HC, sheet_row, year FROM {survey_year(y)}" for y in (2014, 2018, 2022))
     RS = with_(RECORDS, LINE_TAGS, SURVEY)
     q["survey_combined"] = RS + (f"SELECT FundingOrganisation, OrganisationReference, AwardTitle, AwardAbstract, "
                                  f"{j('RA')} AS RA, {j('RA_top')} AS RA_top, {j('HC')} AS HC, src_year, src_row FROM survey")
@@ -465,11 +478,13 @@ def build() -> dict[str, str]:
     q["tag_split_first_char"] = R2 + f"SELECT project_id, {j(top_chars('hrcs_rac_category'))} AS ra_top FROM raw2"
     hc_split = normalise("string_split(ukcrc_value, ',')")
     q["tag_normalise"] = R2 + f"SELECT project_id, {j(hc_split)} AS hc FROM raw2"
-    q["wide_to_list"] = RL + (f"SELECT sheet_row, {j(_nonnull([f'RA_{i}' for i in range(1, 7)]))} AS ra, "
-                              f"{j(_nonnull([f'HC_{i}' for i in range(1, 4)]))} AS hc FROM {survey_sheet(2022)}")
-    ra14 = _nonnull([f"CAST(RA_{i} AS VARCHAR)" for i in range(1, 5)])
-    q["tag_truncate"] = RL + (f"SELECT sheet_row, {j(f'list_transform(list_filter({ra14}, lambda x: {_ws_nonblank(chr(120))}), lambda x: substring(x, 1, 3))')} AS ra "
-                              f"FROM {survey_sheet(2014)}")
+    ras = _nonnull([f"CAST(RA_{i} AS VARCHAR)" for i in range(1, SHEET_COLUMNS + 1)])
+    hcs = _nonnull([f"HC_{i}" for i in range(1, SHEET_COLUMNS + 1)])
+    q["wide_to_list"] = RL + " UNION ALL ".join(
+        f"SELECT sheet_row, {j(ras)} AS ra, {j(hcs)} AS hc FROM {survey_sheet(y)}" for y in (2014, 2018, 2022))
+    cut = f"list_transform(list_filter({ras}, lambda x: {_ws_nonblank('x')}), lambda x: substring(x, 1, 3))"
+    q["tag_truncate"] = RL + " UNION ALL ".join(
+        f"SELECT sheet_row, {j(cut)} AS ra FROM {survey_sheet(y)}" for y in (2014, 2018, 2022))
     top = (f"list_sort(list_distinct(list_transform(list_filter(codes, lambda x: {_ws_nonblank('x')}), "
            f"lambda x: substring(x, 1, 1))))")
     L = with_(LINE_TAGS)
@@ -562,15 +577,17 @@ def build() -> dict[str, str]:
                   f"SELECT vec_id, label AS i FROM embeddings UNION ALL "
                   f"SELECT vec_id, label + 10 FROM embeddings WHERE embedding[49] > 0))")
     eval_pred = f"pred AS (SELECT row_id, {codes}[i + 1] AS label FROM (SELECT row_id, unnest(tags) AS i FROM tagged))"
-    q["evaluate"] = with_(SCORES, SCORES_LONG, _rank_threshold(False), eval_truth, eval_pred,
-                          rolled(("detail", "parent", "super"), False),
-                          per_label_sql(("all",), classes=f"SELECT unnest({codes}) AS key")) + SUMMARY + (
-        " GROUP BY scope, level")
+    all_codes = f"SELECT unnest({codes}) AS key"
+    q["evaluate"] = with_(SCORES, SCORES_LONG, META, _rank_threshold(False), eval_truth, eval_pred, rolled(),
+                          per_label_sql(("all", "sub"), classes=all_codes)) + SUMMARY + " GROUP BY scope, level"
+    flat = "tagged AS (SELECT row_id, list(label_idx) FILTER (WHERE score > 0.5) AS tags FROM scores_long GROUP BY row_id)"
+    q["evaluate_flat"] = with_(SCORES, SCORES_LONG, flat, eval_truth, eval_pred, rolled(with_meta=False),
+                               per_label_sql(("all",), classes=all_codes)) + SUMMARY + " GROUP BY scope, level"
 
     top_b = (f"list_sort(list_distinct(list_transform(list_filter(t.codes, lambda x: {_ws_nonblank('x')}), "
              f"lambda x: substring(x, 1, 1))))")
-    base = (f"base AS (SELECT t.row_id, r.FundingOrganisation, r.AwardTitle AS AllText, t.codes AS RA, "
-            f"{top_b} AS RA_top, {normalise('t.hcs')} AS HC FROM records r JOIN line_tags t ON r.doc_id = t.row_id)")
+    base = (f"base AS (SELECT t.row_id, r.FundingOrganisation, r.AllText, t.codes AS RA, "
+            f"{top_b} AS RA_top, {normalise('t.hcs')} AS HC FROM {processed()} r JOIN line_tags t ON r.doc_id = t.row_id)")
     cats = ["RA", "RA_top", "HC"]
     ctes = [RECORDS, LINE_TAGS, base] + [
         _split_ctes(c.lower(), f"SELECT row_id, list_distinct({c}) AS labs FROM base WHERE {c} IS NOT NULL")
@@ -581,6 +598,9 @@ def build() -> dict[str, str]:
         for c in cats)
 
     q["split_write"] = q["split_categories"]
+    hot = ", ".join(f"CAST(list_contains(b.RA, {lit(c)}) AS INTEGER) AS \"{c}\"" for c in classes)
+    q["split_export"] = with_(RECORDS, LINE_TAGS, base, ctes[3]) + (
+        f"SELECT row_id, {hot}, lower(b.AllText) AS text, s.split, b.FundingOrganisation FROM base b JOIN ra_split s USING (row_id)")
     q["latest_per_key"] = RL + (
         "SELECT FundingOrganisation, OrganisationReference, year, sheet_row FROM ("
         f"SELECT * FROM {survey_year(2014)} UNION ALL BY NAME SELECT * FROM {survey_year(2018)} "

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import SUBGROUP_FUNDER
+from ..constants import PLACEHOLDER_HC, SUBGROUP_FUNDER
 from ..functions.scores import sigmoid
 from ..session import read_table
 
@@ -92,7 +92,7 @@ def truth_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted labels: codes of lines 1-3, plus a rotated (wrong) code for
+    """Stand-in for predicted labels: codes of lines 1-3 (the other lines are the misses), plus a rotated (wrong) code for
     orders whose first line was returned."""
     li = read_table(spark, sf_dir, "lineitem", LINE_COLS)
     first3 = li.filter(F.col("l_linenumber") <= 3).select(
@@ -115,7 +115,7 @@ def eval_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores_wide(spark: SparkSession, sf_dir: str, n_labels: int = 48,
                 tie_round: int | None = None) -> DataFrame:
-    """48 scores per row: sigmoid(20*x - vec_id % 8) over the first 48 floats."""
+    """48 scores per row, one for each label: sigmoid(20*x - vec_id % 8) over the first 48 of 64 floats (a stand-in)."""
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     shift = (F.col("vec_id") % 8).cast("double")
     logits = F.transform(F.slice("embedding", 1, n_labels),
@@ -145,13 +145,14 @@ def survey_sheet(spark: SparkSession, sf_dir: str, year: int, tags: DataFrame |
     """A raw yearly survey sheet in its wide form.
 
     2014 uses the public column names and numeric codes; later years carry a
-    CodingType column, string codes (some blank) and more tag columns.  The
-    ``RA_i%`` / ``HC_i%`` percentage columns exist only to be discarded.
+    CodingType column and string codes (some blank).  Each sheet has as many
+    tag columns as its fullest row needs (one count over the tags; one at least).
+    The ``RA_i%`` / ``HC_i%`` percentage columns exist only to be discarded.
     """
     rec = records(spark, sf_dir).filter(F.col("year") == year)
     tags = tags if tags is not None else line_tags(spark, sf_dir)
     j = rec.join(tags, rec.doc_id == tags.row_id, "left")
-    n_ra, n_hc = (4, 2) if year == 2014 else (6, 3)
+    n_ra, n_hc = (max(n or 1, 1) for n in j.agg(F.max(F.size("codes")), F.max(F.size("hcs"))).first())
     cols: list[Column] = [F.col("FundingOrganisation")]
     if year == 2014:
         cols += [F.col("OrganisationReference").alias("GrantCode_Public"),
@@ -190,7 +191,9 @@ def second_source_raw(spark: SparkSession, sf_dir: str, tags: DataFrame | None =
         F.col("doc_id").cast("string").alias("project_id"),
         F.col("AwardTitle").alias("project_title"),
         F.col("AwardAbstract").alias("scientific_abstract"),
-        F.array_join("hcs", ",").alias("ukcrc_value"),
+        # rows with one or two tags stand for the not yet coded ones
+        F.when(F.size("hcs") <= 2, F.element_at(F.array(*[F.lit(x) for x in PLACEHOLDER_HC]), F.size("hcs")))
+         .otherwise(F.array_join("hcs", ",")).alias("ukcrc_value"),
         tops.alias("hrcs_rac_category"),
         racs.alias("ukcrc_value_rac"),
         F.lit("unused").alias("extra_column"),

@@ -35,7 +35,8 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
-def _tag_cols(columns: list[str], marker: str) -> list[str]:
+def tag_columns(columns: list[str], marker: str) -> list[str]:
+    """Tag columns of a sheet in column order, without the percentages."""
     return [c for c in columns if marker in c and not c.endswith("%")]
 
 
@@ -50,7 +51,7 @@ def read_survey_year(raw: DataFrame, year: int) -> DataFrame:
         df = df.withColumnsRenamed(SURVEY_2014_RENAMES)
     else:
         df = df.filter(F.col("CodingType") == F.lit(MANUAL_CODING))
-    tag_cols = _tag_cols(df.columns, "RA_") + _tag_cols(df.columns, "HC_")
+    tag_cols = tag_columns(df.columns, "RA_") + tag_columns(df.columns, "HC_")
     numeric = {f.name for f in df.schema.fields
                if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     # Tag cells become strings here (numeric NaN -> null), so years whose
