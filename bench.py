@@ -27,11 +27,14 @@ HEADLINE = [
     "class_weights",
     "split_rarest",
     "label_counts",
+    "split_categories",
+    "split_export",
     "rank_threshold_tags",
     "metrics_suite",
     "metrics_per_label",
     "evaluate",
     "score_batch",
+    "stream_tag",
 ]
 
 

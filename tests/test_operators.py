@@ -158,6 +158,27 @@ def test_boilerplate_bucket_is_settled_in_few_rounds(spark, monkeypatch):
     assert len(rounds) < 60  # about five tables a round
 
 
+def test_prefix_filter_keeps_nulls(spark):
+    from tagweave.functions.text import no_listed_prefix
+    df = spark.createDataFrame([(1, "The end"), (2, None), (3, "end")], "id long, t string")
+    assert {r["id"] for r in df.filter(no_listed_prefix("t", ["the "])).collect()} == {2, 3}
+
+
+def test_evaluate_subgroup_by_status(spark):
+    from tagweave.operators.metrics import evaluate
+    scores = spark.createDataFrame([(1, [0.9, 0.1]), (2, [0.2, 0.6])], "row_id long, scores array<double>")
+    truth = spark.createDataFrame([(1, "1.1"), (2, "1.2")], "row_id long, label string")
+    meta = "row_id long, FundingOrganisation string"
+
+    def prefixes(m):
+        return {r["prefix"] for r in evaluate(scores, truth, ["1.1", "1.2"], rank_weighting=False, meta=m).collect()}
+    plain = {"", "parent_", "super_parent_"}
+    assert prefixes(None) == plain
+    assert prefixes(spark.createDataFrame([(1, "a"), (2, "b")], meta)) == plain  # no_subgroup_rows
+    assert prefixes(spark.createDataFrame([(1, "Wellcome Trust")], meta)) == plain  # unmatched_rows
+    assert len(prefixes(spark.createDataFrame([(1, "Wellcome Trust"), (2, "b")], meta))) == 6  # computed
+
+
 def test_star_jaccard_equals_pairwise(spark):
     texts = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta iota",
              "completely unrelated words in this one", "alpha beta gamma"]
