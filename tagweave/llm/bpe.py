@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from .common import slices, with_column_schema
 
-CACHE_WORDS = 1 << 18
-SLICE_CHARS = 4_000_000
+CACHE_WORDS = 1 << 17
+SLICE, SLICE_CHARS = 1 << 20, 300_000   # bytes of a slice, characters learned at once: they bound a worker's memory
 SHORT = 48
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 #: letters and numbers of Latin-1, lower case (texts within Latin-1 are in NFC already)
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, SLICE):
             n, ids, back = codec.value.encode_texts(b.column(at).to_pylist())
             new = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()),
                                               pa.array(back, pa.string())], fields=list(kind))

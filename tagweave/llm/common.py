@@ -12,7 +12,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir, ship_package, table_pa
 
 __all__ = ["arrow_map", "cut_lineage", "read", "slices", "with_column_schema"]
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
