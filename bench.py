@@ -26,6 +26,7 @@ HEADLINE = [
     "tag_dist_code",
     "class_weights",
     "split_rarest",
+    "split_iterative",
     "label_counts",
     "split_categories",
     "split_export",

@@ -1,7 +1,8 @@
 """Multi-label stratified train/test split.
 
-``split_rarest`` (one pass): each row's stratum is its rarest label (ties
-by label; rows without labels form their own stratum); rows are ranked in
+``split_rarest`` (one pass after counting the labels): each row's stratum is its
+rarest label, looked up in the row (ties by label; rows without labels form
+their own stratum); rows are ranked in
 their stratum by md5(id | seed) and row ``rn`` goes to test when
 ``floor(rn*p/q) > floor((rn-1)*p/q)`` for the share p/q — exact shares, in
 integer arithmetic, identical on any engine.
@@ -16,6 +17,7 @@ is thus ranked by thousands of tasks.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -26,10 +28,12 @@ from ..constants import TEST_SHARE
 from .labels import binarise, class_list
 
 SUB_BUCKET_HEX = 3  # 4096 sub-buckets per stratum
+MAX_LABELS = 10_000  # labels whose counts the driver holds; more raise an error
+KEYS_AT_ONCE = 4096
 
 
 def _share(test_share: float) -> tuple[int, int]:
-    f = Fraction(test_share).limit_denominator(10_000)
+    f = Fraction(str(test_share))
     return f.numerator, f.denominator
 
 
@@ -37,6 +41,22 @@ def hash_order(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
+def label_totals(df: DataFrame, labels_col: str, weight: str | F.Column) -> dict[str, int]:
+    """Sum of ``weight`` over the rows of each label; ``ValueError`` beyond ``MAX_LABELS`` labels."""
+    long = df.select(F.explode(labels_col).alias("label"), (F.col(weight) if isinstance(weight, str) else weight).alias("w"))
+    found = long.groupBy("label").agg(F.sum("w").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return {r["label"]: r["n"] for r in found}
+
+
+def literal_map(values: dict) -> F.Column:
+    """A dictionary as one constant map."""
+    if not values:
+        return F.create_map().cast("map<string,double>")
+    return F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values())))
+
+
 def rank_in_groups(df: DataFrame, group_col: str, order_col: str, id_col: str,
                    prefix_len: int = SUB_BUCKET_HEX) -> DataFrame:
     """Exact 1-based rank of each row in ``group_col`` by (order_col, id).
@@ -60,17 +80,14 @@ def rank_in_groups(df: DataFrame, group_col: str, order_col: str, id_col: str,
 def split_rarest(df: DataFrame, labels_col: str, id_col: str = "row_id",
                  test_share: float = TEST_SHARE, seed: int = 10) -> DataFrame:
     """(id, stratum, split) for every row with a non-null label list."""
+    from ..session import cut_lineage
     p, q = _share(test_share)
-    rows = df.filter(F.col(labels_col).isNotNull()).select(id_col, labels_col)
-    long = rows.select(id_col, F.explode(F.array_distinct(labels_col)).alias("label"))
-    counts = long.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (long.join(counts, "label")
-                  .groupBy(id_col)
-                  .agg(F.min(F.struct("n", "label")).alias("r"))
-                  .select(id_col, F.col("r.label").alias("stratum")))
-    strata = (rows.select(id_col).join(rarest, id_col, "left")
-                  .withColumn("stratum", F.coalesce("stratum", F.lit(""))))
-    ranked = rank_in_groups(strata.withColumn("_h", hash_order(id_col, seed)), "stratum", "_h", id_col)
+    rows = df.filter(F.col(labels_col).isNotNull()).select(
+        id_col, F.array_distinct(F.filter(labels_col, lambda x: x.isNotNull())).alias("_labs"))
+    counts = literal_map(label_totals(rows, "_labs", F.lit(1)))
+    rarest = F.array_min(F.transform("_labs", lambda x: F.struct(counts[x].alias("n"), x.alias("label"))))["label"]
+    strata = cut_lineage(rows.select(id_col, F.coalesce(rarest, F.lit("")).alias("stratum"), hash_order(id_col, seed).alias("_h")))
+    ranked = rank_in_groups(strata, "stratum", "_h", id_col)
     is_test = (F.expr(f"(rank * {p}) div {q}") > F.expr(f"((rank - 1) * {p}) div {q}"))
     return ranked.select(id_col, "stratum",
                          F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias("split"))
@@ -136,97 +153,81 @@ def write_export(df: DataFrame, labels_col: str, path: str, text_col: str, meta_
     df.filter(F.col(labels_col).isNotNull()).select(id_col, *meta_cols).write.mode("error").parquet(f"{path}/meta")
 
 
-NEED_LEVELS = 10_000
+def _nth_key(keys: DataFrame, n: int, total: int) -> str:
+    """The n-th smallest of ``total`` distinct ``_key`` strings of one width.
+
+    Counts by growing prefixes (at most 4096 counts a step) until at most
+    ``KEYS_AT_ONCE`` keys are left to choose from: no global sort.
+    """
+    width = 0
+    while total > KEYS_AT_ONCE:
+        width += 3
+        for prefix, total in sorted(map(tuple, keys.groupBy(F.substring("_key", 1, width)).count().collect())):
+            if n <= total:
+                break
+            n -= total
+        keys = keys.filter(F.col("_key").startswith(prefix))
+    return sorted(r["_key"] for r in keys.select("_key").collect())[n - 1]
 
 
 def split_iterative(df: DataFrame, labels_col: str, id_col: str = "row_id",
-                    test_share: float = TEST_SHARE, seed: int = 10,
-                    max_rounds: int | None = None) -> DataFrame:
-    """M1 (iterative stratification, need-first): (id, split) for every row
+                    test_share: float = TEST_SHARE, seed: int = 10) -> DataFrame:
+    """M1 (iterative stratification by label set): (id, split) for every row
     with a non-null label list.
 
-    Round r takes the label with the fewest unassigned rows (ties by label)
-    and sends ``round(test demand)`` of its unassigned rows to test and the
-    rest to train.  Test rows are those whose labels most need test rows
-    (mean remaining test share of their labels), ties by md5(id | seed).
-    Every round assigns *all* unassigned rows of its label, so after labels
-    P are done the unassigned rows are exactly those with no label in P: no
-    assignment table, anti-join or growing union is needed.
-
-    The top-k needs no global sort: a histogram of the quantised need (at
-    most ``NEED_LEVELS`` rows, collected) gives the cut level and only rows
-    at that level are ranked, by md5 sub-buckets.  Driver state is the
-    per-label demand and remaining-count tables (one entry per label); each
-    round runs two small jobs over the checkpointed row table, and the
-    number of rounds is bounded by the label universe.  Rows without labels
-    are placed last to balance the overall share.
+    Rows are counted once per distinct label set; all rounds run on that table.
+    Round r takes the label with the fewest unassigned rows (ties by label) and
+    settles all open sets that hold it.  Its test demand k is spread over them:
+    a set of n rows gets ``floor(n * k / open rows)`` test rows, and the rest of
+    k goes, one row each, to the sets whose labels most need test rows (mean
+    remaining test share of their labels; ties by the set's digest).  The rows without
+    labels come last and balance the overall share.  In the end the rows are
+    ranked once in their set by md5(id | seed), and the first ones go to test.
+
+    The driver holds the demand and remaining count of each label (at most
+    ``MAX_LABELS``, else ``ValueError``); there is one round per label, whose
+    settled sets are written to the checkpoint folder and read back together.
     """
-    from ..session import cut_lineage
-
-    rows = df.filter(F.col(labels_col).isNotNull())
-    rows = cut_lineage(rows.select(id_col, F.array_distinct(labels_col).alias("_labs"),
-                                   hash_order(id_col, seed).alias("_h")))
-    stats = rows.select(F.explode("_labs").alias("label")).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n")).collect()
-    totals = {r["label"]: r["n"] for r in stats}
-    n_rows = rows.count()
-    want_test = {lab: test_share * n for lab, n in totals.items()}
-    want_train = {lab: (1 - test_share) * n for lab, n in totals.items()}
-    remaining = dict(totals)
-    want_all_test = test_share * n_rows
+    from ..session import cut_lineage, ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    labs = F.array_sort(F.array_distinct(F.filter(labels_col, lambda x: x.isNotNull())))
+    rows = df.filter(F.col(labels_col).isNotNull()).select(id_col, labs.alias("_labs"), hash_order(id_col, seed).alias("_h"))
+    rows = cut_lineage(rows.withColumn("_set", F.md5(F.to_json("_labs"))))
+    sets = cut_lineage(rows.groupBy("_set", "_labs").agg(F.count(F.lit(1)).alias("_n")))
+    remaining = label_totals(sets, "_labs", "_n")
+    want_test = {lab: test_share * n for lab, n in remaining.items()}
+    want_train = {lab: n - want_test[lab] for lab, n in remaining.items()}
+    want_all_test = test_share * (sets.agg(F.sum("_n")).first()[0] or 0)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/split-{uuid.uuid4().hex}"
     done: list[str] = []
-    parts: list[DataFrame] = []
-    limit = max_rounds or (len(totals) + 1)
-    while any(v > 0 for v in remaining.values()):
-        if len(done) >= limit:
-            raise RuntimeError(f"iterative split did not finish in {limit} rounds")
+    while any(remaining.values()):
         lab = min((x for x in remaining if remaining[x] > 0), key=lambda x: (remaining[x], x))
-        k = int(min(max(math.floor(want_test[lab] + 0.5), 0), remaining[lab]))
-        ratio = F.create_map(*[F.lit(x) for kv in (
-            (m, want_test[m] / (want_test[m] + want_train[m]) if want_test[m] + want_train[m] > 0 else 0.0)
-            for m in totals) for x in kv])
-        open_rows = F.array_contains("_labs", lab)
-        if done:
-            open_rows = open_rows & ~F.arrays_overlap("_labs", F.array(*[F.lit(x) for x in done]))
-        need = F.aggregate(F.transform("_labs", lambda m: F.element_at(ratio, m)),
-                           F.lit(0.0), lambda a, x: a + x) / F.size("_labs")
-        cand = rows.filter(open_rows).withColumn(
-            "_q", F.floor(F.greatest(F.least(need, F.lit(1.0)), F.lit(0.0)) * F.lit(NEED_LEVELS)).cast("int"))
-        hist = sorted(((r["_q"], r["n"]) for r in
-                       cand.groupBy("_q").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-        above, cut, take = 0, None, 0
-        for q, n in hist:
-            if above + n >= k:
-                cut, take = q, k - above
-                break
-            above += n
-        if k == 0 or cut is None:
-            picked = cand.select(id_col, "_labs", F.lit("test" if k > 0 else "train").alias("split"))
-        else:
-            tie = rank_in_groups(cand.filter(F.col("_q") == cut), "_q", "_h", id_col).select(
-                id_col, "_labs", F.when(F.col("rank") <= take, F.lit("test")).otherwise(F.lit("train")).alias("split"))
-            rest = cand.filter(F.col("_q") != cut).select(
-                id_col, "_labs", F.when(F.col("_q") > cut, F.lit("test")).otherwise(F.lit("train")).alias("split"))
-            picked = tie.unionByName(rest)
-        upd = (picked.select("split", F.explode("_labs").alias("label"))
-                     .groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")).collect())
-        for r in upd:
-            (want_test if r["split"] == "test" else want_train)[r["label"]] -= r["n"]
-            remaining[r["label"]] -= r["n"]
+        open_rows = remaining[lab]
+        k = min(max(math.floor(want_test[lab] + 0.5), 0), open_rows)
+        ratio = literal_map({m: want_test[m] / left if (left := want_test[m] + want_train[m]) > 0 else 0.0 for m in remaining})
+        need = F.aggregate("_labs", F.lit(0.0), lambda a, m: a + ratio[m]) / F.size("_labs")
+        late = F.floor((1 - F.greatest(F.least(need, F.lit(1.0)), F.lit(0.0))) * 10 ** 12).cast("long").cast("string")
+        cand = sets.filter(F.array_contains("_labs", lab) & ~F.arrays_overlap("_labs", F.lit(done).cast("array<string>")))
+        cand = cand.select("_set", "_labs", "_n", F.expr(f"(_n * {k}) div {open_rows}").alias("_t"),
+                           F.concat(F.lpad(late, 13, "0"), "_set").alias("_key"))
+        seen = cand.agg(F.count(F.lit(1)).alias("sets"), F.sum("_t").alias("given")).first()
+        if k > seen["given"]:
+            last = _nth_key(cand.select("_key"), k - seen["given"], seen["sets"])
+            cand = cand.withColumn("_t", F.col("_t") + (F.col("_key") <= last).cast("long"))
+        cand.drop("_key").write.parquet(f"{path}/round={len(done)}")
+        settled = spark.read.parquet(f"{path}/round={len(done)}")
+        for m, n in label_totals(settled, "_labs", "_n").items():
+            remaining[m] -= n
+            want_train[m] -= n
+        for m, n in label_totals(settled, "_labs", "_t").items():
+            want_test[m] -= n
+            want_train[m] += n
         want_all_test -= k
         done.append(lab)
-        parts.append(picked.select(id_col, "split"))
-    empty = rows.filter(F.size("_labs") == 0)
-    n_empty = empty.count()
-    if n_empty:
-        k0 = int(min(max(math.floor(want_all_test + 0.5), 0), n_empty))
-        e = rank_in_groups(empty.withColumn("_g", F.lit(0)), "_g", "_h", id_col)
-        parts.append(e.select(id_col, F.when(F.col("rank") <= k0, F.lit("test"))
-                              .otherwise(F.lit("train")).alias("split")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], f"{id_col} {rows.schema[id_col].dataType.simpleString()}, "
-                                                   "split string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    bare = sets.filter(F.size("_labs") == 0)
+    rest = F.lit(max(math.floor(want_all_test + 0.5), 0)).cast("long")
+    bare.withColumn("_t", F.least("_n", rest)).write.parquet(f"{path}/round={len(done)}")
+    taken = spark.read.parquet(path).select("_set", "_t")
+    return (rank_in_groups(rows.drop("_labs"), "_set", "_h", id_col).join(taken, "_set")
+            .select(id_col, F.when(F.col("rank") <= F.col("_t"), "test").otherwise("train").alias("split")))

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEMO_ABSTRACT_RULES, DEMO_TITLE_RULES, LABELS_LONG
+from ..constants import DEMO_ABSTRACT_RULES, DEMO_TITLE_RULES, LABELS_LONG, TEST_SHARE
 from ..functions import tags as TG
 from ..functions import text as TX
 from ..functions.scores import sigmoid
@@ -437,11 +437,19 @@ def q_split_rarest(spark, sf):
 
 
 def q_split_iterative(spark, sf):
-    """M1 default form (rows-only check: the result is order-dependent by design)."""
+    """M1 by label sets (rows-only check: the rounds depend on each other)."""
     lt = AD.line_tags(spark, sf)
     return SP.split_iterative(lt, "codes", "row_id")
 
 
+def q_split_iterative_balance(spark, sf):
+    """Whether each label's test rows are within one point, or one row, of the asked share."""
+    lt = AD.line_tags(spark, sf)
+    b = SP.split_balance(lt, "codes", SP.split_iterative(lt, "codes", "row_id"))
+    off = F.abs(F.col("n_test") - TEST_SHARE * F.col("n"))
+    return b.select("label", "n", (off <= F.greatest(F.lit(1.0), 0.01 * F.col("n"))).alias("balanced"))
+
+
 def q_split_balance(spark, sf):
     lt, s = _split(spark, sf)
     b = SP.split_balance(lt, "codes", s)

