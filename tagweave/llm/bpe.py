@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 
 from .common import slices, with_column_schema
 
-CACHE_WORDS = 1 << 17
-SLICE, SLICE_CHARS = 1 << 20, 300_000   # bytes of a slice, characters learned at once: they bound a worker's memory
+CACHE_WORDS = 1 << 18
+SLICE, SLICE_CHARS = 1 << 20, 1_000_000   # bytes of a slice, characters learned at once: they bound a worker's memory
 SHORT = 48
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 #: letters and numbers of Latin-1, lower case (texts within Latin-1 are in NFC already)
