@@ -9,8 +9,10 @@ rows are written as Parquet in the shared checkpoint folder and read again.
   document stays, also one whose text becomes empty; ``n_chars`` follows the text.
 * near: of each group of linked documents the one with the smallest id stays;
   documents without words or without an id are never linked and stay.
-* mix: documents are sampled by their raked probabilities.
-* encode: doc_id, lang, source, n_tokens, ids (decimal, joined by a space), decoded_sha256.
+* mix: documents are drawn by their raked weights, as many tokens as there are; a weight above 1 gives whole
+  repeats of the row and a draw on the fraction, so a document may come several times.
+* encode: doc_id, lang, source, n_tokens, ids (decimal, joined by a space), decoded_sha256, copies; repeats that
+  follow each other are encoded once, and ``copies`` says how many rows of the mixture the row stands for.
 """
 
 from __future__ import annotations
@@ -38,12 +40,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mixing.topic_of(F.col("text"))).filter("_mix.sampled").select(*docs.columns)
+    return mixing.drawn(mixing.mix(docs, mixing.topic_of(F.col("text")))).select(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs).select("doc_id", "lang", "source", "_bpe.n_tokens", "_bpe.ids",
-                                   F.sha2("_bpe.decoded", 256).alias("decoded_sha256"))
+    return bpe.encode(mixing.counted_runs(docs)).select("doc_id", "lang", "source", "_bpe.n_tokens", "_bpe.ids",
+                                                        F.sha2("_bpe.decoded", 256).alias("decoded_sha256"), "copies")
 
 
 STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near", near_stage), ("mix", mix_stage), ("encode", encode_stage)]

@@ -4,10 +4,15 @@ Documents are counted once into cells (source, language, topic) of token sums;
 all fitting happens on that table.  A round scales every cell's factor so that
 the weighted tokens meet the target of each source, then language, then topic.
 Rounds repeat until no marginal is off by more than ``TOLERANCE`` (or
-``MAX_ROUNDS``).  A document's sampling probability is its cell's factor divided
-by the largest factor, so expected token shares meet all three marginals.
-Sampling compares the probability with a hash of the document id: no shuffle,
-the same answer in every run.
+``MAX_ROUNDS``).  A document's ``weight`` is its cell's factor, scaled so that the
+expected tokens are ``budget`` (none given: the tokens that are there); it gets
+as many whole ``copies``, and one more when a hash of its id is below the
+fraction.  Expected token shares meet all three marginals, and a rare cell with
+a large factor is repeated instead of thinning out the others.  No shuffle, the
+same answer in every run.
+
+``prob`` and ``sampled`` are the form without repeats: the factor divided by the
+largest one.  There a single rare cell sets the rate of the whole corpus.
 
 The cell table stays distributed: marginals are partial aggregates, and joins
 with them are broadcast only when the planner sees that they are small.
@@ -17,17 +22,19 @@ to the power ``alpha``).  Values without a target keep their present share, and
 listed shares are scaled into the rest.
 
 Defined cases: null source, language or topic is a category of its own; null or
-empty text has no tokens and its cell's probability all the same; a null
+empty text has no tokens and its cell's probability all the same; a cell without
+tokens has weight 1; a null
 ``doc_id`` has one fixed hash; repeated rows get the same decision; zero
 marginals keep factor 1; empty tables give empty results; extra columns pass through.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, slices, with_column_schema
 
 ALPHA = 0.8
 TOLERANCE, MAX_ROUNDS = 1e-9, 100
@@ -90,19 +97,46 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, topic: Column, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA,
+def mix(docs: DataFrame, topic: Column, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, budget: float | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """All columns of ``docs`` plus ``_mix`` (struct: ``n_tokens``, ``prob``, ``sampled``)."""
+    """All columns of ``docs`` plus ``_mix`` (struct: ``n_tokens``, ``prob``, ``sampled``, ``weight``, ``copies``)."""
     tagged = docs.withColumn("_mix", F.struct(
         token_count(F.col(text_col)).alias("n_tokens"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic.alias("topic")))
     cells = cut_lineage(tagged.groupBy(F.col("_mix.source").alias("source"), F.col("_mix.lang").alias("lang"), F.col("_mix.topic").alias("topic"))
                         .agg(F.sum("_mix.n_tokens").alias("tokens")))
     fitted = fit(cells, targets or {d: tempered(cells, d, alpha) for d in ("source", "lang", "topic")})
-    top = fitted.filter("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
+    top, held, total = fitted.filter("tokens > 0").agg(F.max("factor"), F.sum(F.col("tokens") * F.col("factor")), F.sum("tokens")).first()
+    top, scale = top or 1.0, (total if budget is None else budget) / held if held else 1.0
     prob = cut_lineage(fitted.select(F.struct(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"),
-                                              F.least(F.col("factor") / top, F.lit(1.0)).alias("p")).alias("_cell")))
+                                              F.least(F.col("factor") / top, F.lit(1.0)).alias("p"),
+                                              F.when(F.col("tokens") > 0, F.col("factor") * scale).otherwise(1.0).alias("w")).alias("_cell")))
     joined = tagged.join(prob, F.col("_mix.source").eqNullSafe(F.col("_cell.s")) & F.col("_mix.lang").eqNullSafe(F.col("_cell.l"))
                          & F.col("_mix.topic").eqNullSafe(F.col("_cell.t")))
     return joined.select(*docs.columns, F.struct(
         F.col("_mix.n_tokens").alias("n_tokens"), F.col("_cell.p").alias("prob"),
-        (uniform(F.col(id_col)) < F.col("_cell.p")).alias("sampled")).alias("_mix"))
+        (uniform(F.col(id_col)) < F.col("_cell.p")).alias("sampled"), F.col("_cell.w").alias("weight"),
+        (F.floor("_cell.w") + (uniform(F.col(id_col)) < F.col("_cell.w") - F.floor("_cell.w")).cast("long")).alias("copies")).alias("_mix"))
+
+
+def drawn(mixed: DataFrame) -> DataFrame:
+    """The rows of a mixed table as often as their ``copies`` say, neighbours in one partition."""
+    names = [c for c in mixed.columns if c != "_mix"]
+    return mixed.select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int"))).alias("_copy")).select(*names)
+
+
+def counted_runs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Neighbouring equal rows as one row with their number in ``copies``.
+
+    A run that a slice border cuts gives two rows: the sum of ``copies`` is always the number of rows.
+    """
+    at = docs.columns.index(id_col)
+
+    def run(batches):
+        for b in slices(batches):
+            ids = b.column(at).to_pylist()
+            first = [i for i in range(b.num_rows) if i == 0 or ids[i] != ids[i - 1] or not b.slice(i, 1).equals(b.slice(i - 1, 1))]
+            copies = [j - i for i, j in zip(first, [*first[1:], b.num_rows])]
+            yield pa.RecordBatch.from_arrays([*(b if len(first) == b.num_rows else b.take(pa.array(first))).columns, pa.array(copies, pa.int64())],
+                                             schema=b.schema.append(pa.field("copies", pa.int64())))
+
+    return docs.mapInArrow(run, with_column_schema(docs, "copies", "long"))

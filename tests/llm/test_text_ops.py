@@ -12,7 +12,7 @@ from tagweave.llm.bloom import repeat_filter
 from tagweave.llm.bpe import WordBpe, encode, word_bpe_path
 from tagweave.llm.licenses import BASE, scan_licenses
 from tagweave.llm.lines import dedup_lines
-from tagweave.llm.mixing import mix
+from tagweave.llm.mixing import counted_runs, drawn, mix
 from tagweave.llm.neardups import near_duplicates
 from tagweave.llm.quality import binom_cdf, keep_good, quality_verdicts
 from tagweave.llm.substrings import dedup_substrings
@@ -197,6 +197,25 @@ def test_mixing_meets_the_marginals(spark):
     assert mix(frame(spark, only=lambda r: False), F.lit("t")).count() == 0
 
 
+def test_one_rare_document_leaves_the_mixture(spark):
+    rows = [(i, "w " * 60, ["s0", "s0", "s1"][i % 3], ["en", "de"][i % 2], "t") for i in range(600)]
+    names = "doc_id long, text string, source string, lang string, topic string"
+    plain = mix(spark.createDataFrame(rows, names), F.col("topic")).select("doc_id", "_mix.*").collect()
+    more = mix(spark.createDataFrame([*rows, (9000, "w " * 60, None, "en", "t")], names), F.col("topic"))
+    with_rare = {r["doc_id"]: r for r in more.select("doc_id", "_mix.*").collect()}
+    assert all(abs(with_rare[r["doc_id"]]["weight"] / r["weight"] - 1) < 0.03 for r in plain)
+    assert with_rare[9000]["weight"] > 2 and with_rare[9000]["copies"] >= 2
+    assert abs(sum(r["weight"] * r["n_tokens"] for r in with_rare.values()) - 601 * 60) < 1e-3       # the total is kept
+    half = mix(spark.createDataFrame(rows, names), F.col("topic"), budget=18_000).select("_mix.*").collect()
+    assert abs(sum(r["weight"] * r["n_tokens"] for r in half) - 18_000) < 1e-3
+    out = Counter(r["doc_id"] for r in drawn(more).collect())
+    assert out == Counter({i: r["copies"] for i, r in with_rare.items() if r["copies"]}) and sum(out.values()) > 500
+    runs = Counter()
+    for r in counted_runs(drawn(more)).collect():
+        runs[r["doc_id"]] += r["copies"]
+    assert runs == out
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(300)]
