@@ -7,7 +7,11 @@ holdout documents: a cutoff is admissible when an exact binomial test shows
 that it rejects less than ``alpha / n_rules`` of the good documents.  Cutoffs are
 tested from the most lenient on and testing stops at the first failure (fixed
 sequence, so the grid costs nothing); the level is ``delta / (n_rules * n_strata)``
-(Bonferroni).  With probability ``1 - delta`` no stratum then loses more than a
+(Bonferroni).  Among the admissible cutoffs of a rule the most lenient one is used
+that removes every labelled bad document which the most aggressive one would
+remove and the rules before it leave; a rule that would remove none is unused.
+Labels without any bad document cannot tell, and the most aggressive admissible
+cutoff is used.  With probability ``1 - delta`` no stratum then loses more than a
 share ``alpha`` of its good documents to these rules.  Without enough labels no
 cutoff is admissible and the rules reject nothing.
 
@@ -145,16 +149,25 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-def pick_cutoffs(row: dict, n_strata: int, alpha: float, delta: float) -> dict[str, float | None]:
-    """Most aggressive admissible cutoff of each rule for one stratum's counts."""
+def pick_cutoffs(row: dict, n_strata: int, alpha: float, delta: float, bad: list | None = None) -> dict[str, float | None]:
+    """An admissible cutoff of each rule for one stratum's counts.
+
+    ``bad``: per kind of labelled bad document the place of the first cutoff of each rule that removes it.
+    None: no bad labels at all, the most aggressive admissible cutoff is taken.
+    """
+    left = None if bad is None else [tuple(b) for b in bad]
     level, share = delta / (len(GRIDS) * max(n_strata, 1)), alpha / len(GRIDS)
     out: dict[str, float | None] = {}
-    for rule, grid in GRIDS.items():
-        out[rule] = None
+    for at, (rule, grid) in enumerate(GRIDS.items()):
+        out[rule], last = None, -1
         for i, cut in enumerate(grid):
             if row["n_good"] == 0 or binom_cdf(int(row[f"good_{rule}_{i}"]), int(row["n_good"]), share) > level:
                 break
-            out[rule] = cut
+            out[rule], last = cut, i
+        if left is not None:
+            use = max((b[at] for b in left if b[at] <= last), default=None)
+            out[rule] = None if use is None else grid[use]
+            left = [b for b in left if use is None or b[at] > use]
     return out
 
 
@@ -163,18 +176,23 @@ def risk_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     """(stratum, cutoff per rule; null: rule unused), one row per stratum with good holdout documents."""
     agreed = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("good"))
               .dropna().groupBy("doc_id").agg(F.min("good").alias("good"), F.max("good").alias("most"))
-              .filter("good = most and good = 1").select("doc_id"))
-    hold = (feats.filter(~F.col("base_failed")).join(agreed, "doc_id", "left_semi")
-            .groupBy("stratum", "text_hash").agg(*[F.first(r).alias(r) for r in GRIDS]))
-    counts = hold.groupBy("stratum").agg(
+              .filter("good = most and good in (0, 1)").select("doc_id", "good"))
+    hold = (feats.filter(~F.col("base_failed")).join(agreed, "doc_id")
+            .groupBy("stratum", "good", "text_hash").agg(*[F.first(r).alias(r) for r in GRIDS]))
+    # per stratum the distinct places of the first cutoffs that remove a bad document: at most 10,080 whatever the input
+    first = F.array(*[sum((F.col(r) < c).cast("int") for c in g) for r, g in GRIDS.items()])
+    bad = (hold.filter("good = 0").groupBy(F.col("stratum").alias("_s")).agg(F.collect_set(first).alias("bad")))
+    two_sided = agreed.filter("good = 0").limit(1).count() > 0
+    counts = hold.filter("good = 1").groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n_good"),
         *[F.count_if(F.col(r) >= cut).alias(f"good_{r}_{i}") for r, g in GRIDS.items() for i, cut in enumerate(g)])
-    counts = cut_lineage(counts)
+    counts = cut_lineage(counts.join(bad, F.col("stratum").eqNullSafe(F.col("_s")), "left").drop("_s"))
     n_strata = counts.count()
 
     def pick(parts):
         for pdf in parts:
-            yield pd.DataFrame([{"stratum": r["stratum"], **pick_cutoffs(r, n_strata, alpha, delta)}
+            yield pd.DataFrame([{"stratum": r["stratum"], **pick_cutoffs(r, n_strata, alpha, delta, (
+                                    [] if r["bad"] is None else r["bad"]) if two_sided else None)}
                                 for r in pdf.to_dict("records")],
                                columns=["stratum", *GRIDS]).astype({r: "float64" for r in GRIDS})
 

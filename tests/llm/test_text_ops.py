@@ -14,7 +14,7 @@ from tagweave.llm.licenses import BASE, scan_licenses
 from tagweave.llm.lines import dedup_lines
 from tagweave.llm.mixing import counted_runs, drawn, mix
 from tagweave.llm.neardups import near_duplicates
-from tagweave.llm.quality import binom_cdf, keep_good, quality_verdicts
+from tagweave.llm.quality import GRIDS, binom_cdf, keep_good, pick_cutoffs, quality_verdicts
 from tagweave.llm.substrings import dedup_substrings
 from tagweave.llm.topk import exact_topk, threshold_topk
 
@@ -182,6 +182,27 @@ def test_certified_cutoffs_limit_false_rejection(spark):
     assert not any(got[i] for i, *_ in bad) and sum(not got[i] for i, *_ in good) <= 0.05 * len(good)
 
 
+def test_cutoffs_are_spent_on_bad_documents_only(spark):
+    good = [(i, " ".join(f"g{i}x{j}" for j in range(60)) + ("\nsame line\nsame line" if i % 200 == 0 else ""), "en") for i in range(2000)]
+    bad = [(5000 + i, " ".join(f"b{i}x{j}" + "##" * (j % 2) for j in range(60)), "en") for i in range(50)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i, *_ in good + bad], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality_verdicts(df, labels).collect()}
+    assert not any(got[i] for i, *_ in bad) and all(got[i] for i, *_ in good)
+    assert keep_good(df, labels).count() == len(good)
+
+
+def test_most_lenient_cutoff_that_removes_as_much():
+    row = {"n_good": 5000} | {f"good_{r}_{i}": 0 for r, g in GRIDS.items() for i in range(len(g))}
+    none = [len(g) for g in GRIDS.values()]
+    kinds = [[2, *none[1:]], [5, 0, *none[2:]], none]
+    assert list(pick_cutoffs(row, 1, 0.05, 0.05, kinds).values()) == [0.5, None, None, None]
+    assert list(pick_cutoffs(row, 1, 0.05, 0.05, []).values()) == [None] * 4
+    assert list(pick_cutoffs(row, 1, 0.05, 0.05).values()) == [g[-1] for g in GRIDS.values()]
+    strict = row | {"good_symbol_share_4": 4000}                              # only the first four cutoffs are admissible
+    assert list(pick_cutoffs(strict, 1, 0.05, 0.05, kinds).values()) == [1.0, 0.5, None, None]
+
+
 def test_mixing_meets_the_marginals(spark):
     rows = [(i, "w " * (1 + i % 7), ["s0", "s0", "s1", None][i % 4], ["en", "de", "fr"][i % 3], "t") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
