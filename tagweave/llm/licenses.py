@@ -6,7 +6,10 @@ gives the matching statistic, the longest word sequence ending there that
 occurs in some template.  Words outside the template vocabulary reset it, so only
 runs of known words are streamed.  Right-maximal matches of ``MIN_MATCH`` words
 or more are chained per template (same order in text and template, small gaps);
-a chain that covers ``MIN_COVER`` of a template gives its span and label.  Base
+a chain that covers ``MIN_COVER`` of a template and all of its distinguishing
+words (version, noncommercial, sharealike and the like, in brackets below) gives
+its span and label.  Of spans at one place the one with the most covered words
+stays.  Base
 phrases are found by the same pass: a phrase ends wherever its state is the
 current state or one of its suffix ancestors.  Nothing is shuffled.
 
@@ -25,19 +28,71 @@ from .common import slices, with_column_schema
 
 #: fixed values: base phrases, as text after lower-casing, and their labels
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: notices of common licenses (template text, label)
+_CC = "this work is licensed under a creative commons attribution"
+_GNU = "this work is licensed under the gnu"
+_FREE = "this program is free software you can redistribute it and or modify it under the terms of the"
+_FSF = "as published by the free software foundation"
+_BSD = ("redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution ")
+_BSD_END = ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including "
+            "but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no "
+            "event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or "
+            "consequential damages including but not limited to procurement of substitute goods or services loss of use data or "
+            "profits or business interruption however caused and on any theory of liability whether in contract strict liability or "
+            "tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+            "possibility of such damage")
+#: notices and short whole texts of common licenses (template text, label); bracketed words must be matched
 TEMPLATES = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
      "documentation files to deal in the software without restriction", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-     "public license as published by the free software foundation", "gpl-3"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+     "files the software to deal in the software without restriction including without limitation the rights to use copy modify "
+     "merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+     "furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+     "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+     "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+     "noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+     "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+     "other dealings in the software", "mit"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+     "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed "
+     "to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+     "any kind either express or implied see the license for the specific language governing permissions and limitations under "
+     "the license", "apache-2"),
+    *[(f"licensed under cc {kind} 4 0", "cc-" + name) for kind, name in [
+        ("by", "by"), ("by [sa]", "by-sa"), ("by [nd]", "by-nd"), ("by [nc]", "by-nc"), ("by [nc] [sa]", "by-nc-sa"), ("by [nc] [nd]", "by-nc-nd")]],
+    *[(f"{_CC} {kind}4 0 international license", "cc-" + name) for kind, name in [
+        ("", "by"), ("[sharealike] ", "by-sa"), ("[noderivatives] ", "by-nd"), ("[noncommercial] ", "by-nc"),
+        ("[noncommercial] [sharealike] ", "by-nc-sa"), ("[noncommercial] [noderivatives] ", "by-nc-nd")]],
+    ("released under the creative commons [cc0] 1 0 universal", "cc0"),
+    ("this work is dedicated to the public domain under creative commons [cc0] 1 0", "cc0"),
+    ("to the extent possible under law the author has [waived] all copyright and related or neighboring rights to this work", "cc0"),
+    *[(f"{_GNU} {kind} public license version {v}", name) for kind, v, name in [
+        ("general", "[2]", "gpl-2"), ("general", "[3]", "gpl-3"), ("[lesser] general", "[2] [1]", "lgpl-2.1"),
+        ("[lesser] general", "[3]", "lgpl-3"), ("[affero] general", "[3]", "agpl-3")]],
+    *[(f"gnu {kind} public license version {v} {month} {year}", name) for kind, v, month, year, name in [
+        ("general", "[2]", "june", "1991", "gpl-2"), ("general", "[3]", "29 june", "2007", "gpl-3"),
+        ("[lesser] general", "[2] [1]", "february", "1999", "lgpl-2.1"), ("[lesser] general", "[3]", "29 june", "2007", "lgpl-3"),
+        ("[affero] general", "[3]", "19 november", "2007", "agpl-3")]],
+    (f"{_FREE} gnu general public license {_FSF}", "gpl"),
+    *[(f"{_FREE} gnu {kind} public license {_FSF} either version {v} of the license or at your option any later version", name)
+      for kind, v, name in [
+        ("general", "[2]", "gpl-2"), ("general", "[3]", "gpl-3"), ("[lesser] general", "[2] [1]", "lgpl-2.1"),
+        ("[lesser] general", "[3]", "lgpl-3"), ("[affero] general", "[3]", "agpl-3")]],
+    ("this source code form is subject to the terms of the [mozilla] public license v 2 0 if a copy of the mpl was not distributed "
+     "with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
+    ("licensed under the [mozilla] public license version 2 0", "mpl-2"),
+    ("released under the [isc] license", "isc"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted [provided] "
+     "that the above copyright notice and this permission notice appear in all copies", "isc"),
+    (_BSD + _BSD_END, "bsd"),
+    (_BSD + "neither the name of the copyright holder nor the names of its contributors may be used to [endorse] or promote products "
+     "derived from this software without specific prior written permission " + _BSD_END, "bsd"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that "
      "the following conditions are met", "bsd"),
 ]
@@ -57,6 +112,7 @@ class Automaton:
 
     def __init__(self, base=BASE, templates=TEMPLATES):
         texts = [words_of(t) for t, _ in [*templates, *base]]
+        self.need = [{i for i, w in enumerate(t.split()) if w[0] == "["} for t, _ in templates]
         self.labels = [label for _, label in [*templates, *base]]
         self.n_templates, self.sizes = len(templates), [len(t) for t in texts]
         self.ids: dict[bytes, int] = {}
@@ -154,22 +210,27 @@ class Automaton:
             by.setdefault(k, []).append((lo, hi, t, t + hi - lo))
         for k, ms in by.items():
             ms = sorted(set(ms))
-            best: list[tuple[int, int]] = []                 # (covered template words, start) of the chain ending here
+            best: list[tuple[int, int, frozenset]] = []      # (covered template words, start, needed words met) of the chain ending here
             first = 0
             for i, (lo, hi, t0, t1) in enumerate(ms):
-                cover, start = t1 - t0, lo
+                own = frozenset(n for n in self.need[k] if t0 <= n < t1)
+                cover, start, met = t1 - t0, lo, own
                 while ms[first][1] + MAX_GAP < lo and first < i and ms[first][0] + self.sizes[k] + MAX_GAP < lo:
                     first += 1
                 for j in range(first, i):
                     jlo, jhi, j0, j1 = ms[j]
                     if jlo < lo and jhi < hi and lo - jhi <= MAX_GAP and j0 < t0 and j1 < t1 and t0 - j1 <= MAX_GAP:
-                        got = best[j][0] + min(t1 - t0, t1 - j1)
-                        if got > cover:
-                            cover, start = got, best[j][1]
-                best.append((cover, start))
-                if cover >= MIN_COVER * self.sizes[k]:
-                    spans.append((start, hi, self.labels[k], cover / self.sizes[k]))
-        return sorted(set(spans))
+                        got, with_j = best[j][0] + min(t1 - t0, t1 - j1), best[j][2] | own
+                        if (len(with_j), got) > (len(met), cover):
+                            cover, start, met = got, best[j][1], with_j
+                best.append((cover, start, met))
+                if cover >= MIN_COVER * self.sizes[k] and len(met) == len(self.need[k]):
+                    spans.append((cover, cover / self.sizes[k], start, hi, self.labels[k]))
+        kept: list[tuple[int, int, str, float]] = []
+        for _, share, lo, hi, label in sorted(set(spans), key=lambda x: (-x[0], -x[1], *x[2:])):
+            if all(2 * (min(hi, b) - max(lo, a)) <= min(hi - lo, b - a) for a, b, *_ in kept):
+                kept.append((lo, hi, label, share))
+        return sorted(kept)
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.bloom import repeat_filter
 from tagweave.llm.bpe import WordBpe, encode, word_bpe_path
-from tagweave.llm.licenses import BASE, scan_licenses
+from tagweave.llm.licenses import BASE, TEMPLATES, Automaton, scan_licenses, words_of
 from tagweave.llm.lines import dedup_lines
 from tagweave.llm.mixing import counted_runs, drawn, mix
 from tagweave.llm.neardups import near_duplicates
@@ -150,6 +150,26 @@ def test_licenses(spark, docs):
         assert all(0.75 <= s["cover"] and s["start"] < s["end"] <= len(w) for s in r["_license"]["spans"])
 
 
+def test_license_kinds_are_told_apart():
+    auto = Automaton()
+    for text, label in [
+            ("This work is licensed under the GNU General Public License, version 2.", "gpl-2"),
+            ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+            ("This work is licensed under the GNU Lesser General Public License, version 2.1", "lgpl-2.1"),
+            ("This work is licensed under the GNU Affero General Public License, version 3", "agpl-3"),
+            ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+            ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+            ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License. This work is licensed under a Creative "
+             "Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+            ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under CC BY 4.0.", "cc-by"),
+            ("Licensed under the Mozilla Public License, Version 2.0.", "mpl-2"), ("Released under the ISC license.", "isc"),
+            ("Released under the MIT License.", "mit"), ("Released under the Creative Commons CC0 1.0 Universal", "cc0"),
+            ("Licensed under the Apache License, Version 2.0.", "apache-2")]:
+        assert {s[2] for s in auto.scan(words_of(text))["spans"]} == {label}, text
+    for text, label in TEMPLATES:
+        assert {s[2] for s in auto.scan(words_of("x1 " + text + " x1"))["spans"]} == {label}, text
+
+
 def test_quality_counts(spark, docs):
     labels = spark.createDataFrame([(0, 1), (None, 1), (3, None), (9, 0)], "doc_id long, quality int")
     want = Counter()
