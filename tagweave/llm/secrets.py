@@ -1,7 +1,8 @@
 """Secret scan: a random forest removes false positives (operator 4), with DataFrame functions only.
 
-Candidates are runs of 12 or more key-like characters that mix letters and
-digits, and values assigned to a secret-like name.  Features of a candidate:
+Candidates are values of six or more characters assigned to a secret-like name
+(any case, optional quotes and spaces, any characters but white space), and runs
+of 12 or more key-like characters that mix letters and digits.  Features of a candidate:
 length; how often neighbouring characters change class (lower, upper, digit,
 other) and the share of each class; how much of it consists of the corpus's
 most frequent words (dictionary, counted over all documents); whether it looks
@@ -12,8 +13,10 @@ scores every candidate.
 
 Labelled findings are a table (doc_id, start, label).  The given tables have
 none, so :func:`rule_findings` labels them by rule: a value assigned to a secret
-name is a finding, unless it is a placeholder; a mixed run without such a name,
-a placeholder or a path is a false positive; the rest stays unlabelled.
+name is a finding, unless it is a placeholder; a placeholder, a path, a value
+beside a negative word and a plain bare run are false positives; bare runs of
+known key forms or of high entropy and the rest stay unlabelled, so that the
+forest decides on their shape.
 
 Defined cases: null or empty text has no candidates; a null ``doc_id`` or source
 is allowed; repeated rows give repeated findings; with findings of one class
@@ -35,19 +38,35 @@ TREES, DEPTH, SEED = 30, 6, 17
 MIN_PROB = 0.5
 CONTEXT = 40
 _CHAR = "[A-Za-z0-9_/+-]"
-NAMES = "(?i)(token|passw(or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
-PATTERN = (rf"(?<!{_CHAR})(?=[A-Za-z_/+-]{{0,64}}[0-9])(?=[0-9_/+-]{{0,64}}[A-Za-z]){_CHAR}{{12,}}+={{0,2}}"
-           rf"|(?<=(?:token|password|passwd|secret|api_key|apikey)(?:=|: | = |\x20=\x20\"|=\"|: \")){_CHAR}{{6,}}+={{0,2}}")
+NAMES = "(?i)(token|passw(or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth(?!or(?!iz))|credential)"
+#: in front of a value: a name, the end of a longer name, an operator with spaces around it, an opening quote
+_SET = rf"{NAMES}(?:s|[_-][A-Za-z0-9_-]{{1,20}})?[\"']?\s{{0,4}}(?:={{1,3}}>?|:=?)\s{{0,4}}"
+#: cheap looks behind first: this one runs at every character
+_CHEAP = r"""(?<=[=:>"'\s])(?<=[=:>][\s"']{0,5})"""
+_VALUE = (rf"""{_CHEAP}(?:(?<={_SET}")[^\s"]{{6,}}|(?<={_SET}')[^\s']{{6,}}"""
+          rf"""|(?<={_SET})[^\s"'=>:](?:(?!&[A-Za-z0-9_.-]{{1,40}}=)\S){{4,}}(?!&[A-Za-z0-9_.-]{{1,40}}=)[^\s"',;.)}}\]])""")
+PATTERN = (rf"{_VALUE}|(?<!{_CHAR})(?=[A-Za-z_/+-]{{0,64}}[0-9])(?=[0-9_/+-]{{0,64}}[A-Za-z]){_CHAR}{{12,}}+={{0,2}}")
+KEY_FORM = (r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{20,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|sk[_-][\w-]{20,}"
+            r"|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\w-]{10,})")
+ENTROPY, ENTROPY_HEX = 3.8, 3.2     # bits a character from which a bare run (a hexadecimal one) counts as random
 PLACEHOLDER = r"(?i)(example|changeme|your[_-]|placeholder|dummy|redacted|x{4,}|0{6,}|1234567|abcdef)"
 NEGATIVE = r"(?i)(commit|revision|checksum|md5|sha1|sha256|uuid|version|isbn)"
 FEATURES = ["length", "transitions", "lower_share", "upper_share", "digit_share", "hex", "distinct_share", "dictionary",
-            "path", "source", "assigned", "named", "negative", "quoted", "placeholder"]
+            "path", "source", "assigned", "named", "negative", "quoted", "placeholder",
+            "entropy", "key_form"]
 
 
 def _share(m: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(m, f"[^{chars}]", "")) / F.length(m)
 
 
+def _entropy(m: Column) -> Column:
+    """Bits a character."""
+    n = F.length(m)
+    counts = F.transform(F.array_distinct(F.split(m, "")), lambda c: (n - F.length(F.replace(m, c, F.lit("")))) / n)
+    return F.aggregate(counts, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+
+
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_WORDS) -> list[str]:
     """The ``size`` most frequent words (three letters or more) over all documents."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("(?<![a-z0-9])[a-z]{3,12}(?![a-z0-9])"), F.lit(0))).alias("w"))
@@ -70,7 +89,7 @@ def candidates(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_c
     runs = F.length(F.regexp_replace(shape, r"(.)\1+", "$1"))
     pieces = F.filter(F.split(F.lower(m), "[^a-z]+"), lambda p: F.length(p) >= 3)
     known = F.filter(pieces, lambda p: F.array_contains(F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>"), p))
-    near = F.lower(F.regexp_extract("before", r"([A-Za-z_-]+)\W{0,4}$", 1))
+    near = F.lower(F.regexp_extract("before", r"([A-Za-z0-9_-]+)\W{0,12}$", 1))
     return one.select(
         "doc_id", "start", "end", "match",
         F.length(m).cast("double").alias("length"), ((runs - 1) / F.length(m)).alias("transitions"),
@@ -80,16 +99,19 @@ def candidates(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_c
         (F.length(F.concat_ws("", known)) / F.length(m)).alias("dictionary"),
         (m.rlike("/[^/]+/") | F.col("before").rlike(r"[/.]$")).cast("double").alias("path"),
         (F.pmod(F.xxhash64(F.coalesce("where", F.lit(""))), F.lit(64))).cast("double").alias("source"),
-        F.col("before").rlike(r"""[=:]\s?["']?$""").cast("double").alias("assigned"), near.rlike(NAMES).cast("double").alias("named"),
+        F.col("before").rlike(r"""[=:]>?\s{0,4}["']?$""").cast("double").alias("assigned"), near.rlike(NAMES).cast("double").alias("named"),
         (near.rlike(NEGATIVE) | F.col("after").rlike(rf"^\W{{0,2}}{NEGATIVE}")).cast("double").alias("negative"),
         (F.col("before").rlike("""["']$""") & F.col("after").rlike("""^["']""")).cast("double").alias("quoted"),
-        m.rlike(PLACEHOLDER).cast("double").alias("placeholder"))
+        m.rlike(PLACEHOLDER).cast("double").alias("placeholder"), _entropy(m).alias("entropy"),
+        m.rlike(KEY_FORM).cast("double").alias("key_form"))
 
 
 def rule_findings(cand: DataFrame) -> DataFrame:
     """Labelled findings (doc_id, start, label) by rule; see the module text."""
     secret = (F.col("assigned") == 1) & (F.col("named") == 1)
-    false = (F.col("placeholder") == 1) | (F.col("path") == 1) | (F.col("negative") == 1) | (F.col("named") == 0) & (F.col("assigned") == 0)
+    random = (F.col("key_form") == 1) | (F.col("entropy") >= F.when(F.col("hex") == 1, ENTROPY_HEX).otherwise(ENTROPY))
+    bare = (F.col("named") == 0) & (F.col("assigned") == 0) & ~random
+    false = (F.col("placeholder") == 1) | (F.col("path") == 1) & ~secret | (F.col("negative") == 1) | bare
     return (cand.select("doc_id", "start", F.when(false, 0.0).when(secret, 1.0).alias("label")).dropna())
 
 
