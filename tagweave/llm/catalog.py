@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode
+from .bytebpe import encode_bytes
 from .common import read
 from .licenses import scan_licenses
 from .lines import dedup_lines
@@ -16,6 +17,7 @@ from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
 from .topk import exact_topk
+from .whitening import by_component, whiten
 
 #: SQL: the words of a text (runs of anything but ASCII white space)
 SQL_WORDS = r"[x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']"
@@ -184,6 +186,18 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                             read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 whitened components of all embeddings."""
+    return by_component(whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), 8))
+
+
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE encoding and decoding of all documents."""
+    return encode_bytes(read(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "_bytes.n_tokens", F.sha2("_bytes.ids", 256).alias("ids_sha256"),
+        F.sha2("_bytes.decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_source_mixing": q_op1,
     "op3_ngram_jaccard_join": q_op3,
@@ -195,6 +209,8 @@ QUERIES = {
     "op8_license_scan": q_op8,
     "op9_line_dedup": q_op9,
     "op10_quality_rules": q_op10,
+    "op11_whitening": q_op11,
+    "op12_byte_bpe": q_op12,
 }
 
 ORACLE = {
