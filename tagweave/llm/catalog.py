@@ -14,6 +14,7 @@ from .mixing import ALPHA, mix, topic_of
 from .neardups import near_duplicates
 from .pii import KINDS, find_pii, span_text
 from .quality import quality_verdicts
+from .repair import damage, repair_report
 from .secrets import scan_secrets
 from .substrings import dedup_substrings
 from .topk import exact_topk
@@ -198,6 +199,84 @@ def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("_bytes.decoded", 256).alias("decoded_sha256"))
 
 
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure repair of all conversations after the stated damage."""
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair_report(rows, damage(rows))
+
+
+def _sql_step(states: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in states.items())
+
+
+def _sql_op13() -> str:
+    """Forward dynamic programme: one recursive row per conversation and position; s0..s3 hold cost and audit of each
+    grammar state (costs have six digits, so that text order is cost order and then ASCII order of the audits)."""
+    none = "'~'"                                   # sorts behind every digit
+
+    def plus(state, cost, edit):
+        return f"CASE WHEN {state} = '~' THEN '~' ELSE printf('%06d', CAST(left({state}, 6) AS INT) + {cost}) || substr({state}, 7) || '{edit}' END"
+
+    fill = {0: (2, "u"), 1: (2, "u"), 2: (3, "a"), 3: (2, "u")}
+    # inserted rows before the row (two are enough: a third leads back)
+    once = {f"i{q}": f"least(s{q}, {', '.join(plus(f's{p}', 5, 'I') for p in fill if fill[p][0] == q) or none})" for q in range(4)}
+    twice = {f"j{q}": f"least(i{q}, {', '.join(plus(f'i{p}', 5, 'I') for p in fill if fill[p][0] == q) or none})" for q in range(4)}
+    after = {}
+    for q in range(4):
+        ways = [plus(f"j{q}", 2, "D")]
+        for p in range(4):
+            for role, to in ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})[p].items():
+                if to == q:
+                    ways.append(f"CASE WHEN must OR initial <> '{role}' THEN '~' ELSE {plus(f'j{p}', 'extra', 'K')} END")
+            if fill[p][0] == q:
+                ways.append(f"CASE WHEN must OR initial = '{fill[p][1]}' THEN '~' ELSE {plus(f'j{p}', '1 + extra', 'R')} END")
+        after[f"s{q}"] = f"least({', '.join(ways)})"
+    crc = ("[list_reduce([c] || range(8), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) FOR c IN range(256)]")
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (SELECT k.*, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(name, '')],
+        lambda h, b: xor(h // 256, t.crc[CAST(xor(h, b) & 255 AS INT) + 1])), 4294967295) % 20 AS kind
+      FROM k, (SELECT {crc} AS crc) t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+      NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut,
+      lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+g AS (SELECT *, blank OR again AS must, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM f),
+dp AS (SELECT DISTINCT conv_id, CAST(1 AS BIGINT) AS i, '000000' AS s0, '~' AS s1, '~' AS s2, '~' AS s3 FROM g
+  UNION ALL SELECT conv_id, i + 1, {_sql_step(after)} FROM (SELECT *, {_sql_step(twice)} FROM (SELECT *, {_sql_step(once)} FROM (
+    SELECT dp.conv_id, dp.i, s0, s1, s2, s3, g.must, g.initial, g.extra FROM dp JOIN g ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.i = g.i)))),
+last AS (SELECT conv_id, least(s0, {plus('s1', 10, 'II')}, {plus('s2', 5, 'I')}, s3) AS best FROM dp
+         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+plan AS (SELECT conv_id, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit FROM last),
+e AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM plan),
+e2 AS (SELECT conv_id, p, substr(audit, p, 1) AS edit, length(replace(left(audit, p), 'I', '')) AS i,
+       length(replace(left(audit, p), 'D', '')) AS place FROM e),
+r AS (SELECT e2.conv_id, e2.place, edit, g.role, g.text, g.initial,
+      max(CASE WHEN edit = 'K' AND g.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e2.conv_id) AS system
+      FROM e2 LEFT JOIN g ON e2.conv_id IS NOT DISTINCT FROM g.conv_id AND e2.i = g.i AND edit <> 'I' WHERE edit <> 'D'),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+             || ':' || coalesce(text, ''), chr(10) ORDER BY place)) AS sha FROM r GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+      count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT must) AS truncated,
+      count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON a.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN plan ON a.conv_id IS NOT DISTINCT FROM plan.conv_id LEFT JOIN h ON a.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
+SQL_OP13 = _sql_op13()
+
 QUERIES = {
     "op1_source_mixing": q_op1,
     "op3_ngram_jaccard_join": q_op3,
@@ -211,6 +290,7 @@ QUERIES = {
     "op10_quality_rules": q_op10,
     "op11_whitening": q_op11,
     "op12_byte_bpe": q_op12,
+    "op13_conversation_repair": q_op13,
 }
 
 ORACLE = {
@@ -219,4 +299,5 @@ ORACLE = {
     "op3_ngram_jaccard_join": SQL_OP3,
     "op2_substring_dedup": SQL_OP2,
     "op9_line_dedup": SQL_OP9,
+    "op13_conversation_repair": SQL_OP13,
 }
