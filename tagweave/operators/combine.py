@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SECOND_SOURCE_FUNDER
+from .numbering import number_rows
 
 ORDER_COLS = ["src_rank", "src_year", "src_row"]
 
@@ -36,12 +37,9 @@ def combine_sources(survey: DataFrame, second: DataFrame,
 
 
 def pre_clean(combined: DataFrame) -> DataFrame:
-    """Reference as string and a stable row id derived from the source order.
+    """Reference as string and the row's position in the combined table as its id.
 
-    ``index`` orders survey rows before second-source rows and is unique
-    per (source, row); it is not a position, so it needs no global sort.
+    ``index`` runs 0, 1, .. over survey rows by year and sheet row, then the second source: unique
+    and gap-free whatever the references look like, and in year order.
     """
-    idx = (F.col("src_rank").cast("bigint") * F.lit(10 ** 15)
-           + F.col("src_year").cast("bigint") * F.lit(10 ** 10) + F.col("src_row"))
-    return (combined.withColumn("OrganisationReference", F.col("OrganisationReference").cast("string"))
-                    .withColumn("index", idx))
+    return number_rows(combined.withColumn("OrganisationReference", F.col("OrganisationReference").cast("string")), ORDER_COLS)

@@ -254,6 +254,9 @@ COMBINED = f"""combined AS (
     (SELECT OrganisationReference FROM survey WHERE FundingOrganisation = {lit(DEMO_FUNDER)}))"""
 
 
+INDEX = "row_number() OVER (ORDER BY src_rank, src_year, src_row) - 1"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -471,8 +474,7 @@ def build() -> dict[str, str]:
                                 f"(SELECT OrganisationReference FROM survey WHERE FundingOrganisation = {lit(DEMO_FUNDER)})")
     q["combine_sources"] = RC + (f"SELECT FundingOrganisation, OrganisationReference, src_rank, src_year, src_row, "
                                  f"{j('RA')} AS RA FROM combined")
-    q["pre_clean"] = RC + ("SELECT CAST(src_rank AS BIGINT) * 1000000000000000 + CAST(src_year AS BIGINT) * 10000000000 "
-                           "+ src_row AS index, FundingOrganisation, OrganisationReference FROM combined")
+    q["pre_clean"] = RC + (f"SELECT {INDEX} AS index, FundingOrganisation, OrganisationReference FROM combined")
 
     q["tag_split_first_token"] = R2 + f"SELECT project_id, {j(first_tokens_slash('ukcrc_value_rac'))} AS ra FROM raw2"
     q["tag_split_first_char"] = R2 + f"SELECT project_id, {j(top_chars('hrcs_rac_category'))} AS ra_top FROM raw2"
@@ -615,8 +617,7 @@ def build() -> dict[str, str]:
     walk = walk_sql([], None, "SELECT doc_id FROM survivors")
     q["near_dup_keep"] = walk
     q["dedup_full"] = walk
-    pre = ("pc AS (SELECT *, CAST(src_rank AS BIGINT) * 1000000000000000 + CAST(src_year AS BIGINT) * 10000000000 "
-           "+ src_row AS idx FROM combined)")
+    pre = f"pc AS (SELECT *, {INDEX} AS idx FROM combined)"
     proc = f"proc AS (SELECT * FROM {processed('pc')})"
     dt = ("dtexts AS (SELECT idx AS doc_id, AllText AS text, FundingOrganisation, RA, HC FROM proc "
           "QUALIFY row_number() OVER (PARTITION BY md5(lower(AllText)) ORDER BY idx DESC) = 1)")

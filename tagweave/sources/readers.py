@@ -17,6 +17,7 @@ from ..constants import (LABELS_LONG, LABELS_SHORT, LABELS_TINY, MANUAL_CODING,
                          SECOND_SOURCE_FUNDER, SECOND_SOURCE_RENAMES, SUPER_GROUPS,
                          SURVEY_2014_RENAMES, SURVEY_YEARS)
 from ..operators.dedup import latest_per_key
+from ..operators.numbering import number_rows
 from ..functions.tags import (first_tokens_slash, in_scope, label_parent, null_placeholders,
                               split_commas, top_chars_from_slash, top_level, truncate_codes,
                               wide_to_list)
@@ -35,6 +36,18 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
+def load_sheet(spark: SparkSession, path: str, fmt: str = "parquet",
+               schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """S5 for a yearly sheet: the rows plus ``sheet_row``, their position in the file (1-based).
+
+    The order is that of the file's blocks and of the rows in each, so any format that splits keeps it.
+    """
+    raw = load(spark, path, fmt, schema, **options)
+    spot = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_read"))
+    return number_rows(spot, ["_file", "_block", "_read"], "sheet_row", 1).drop("_file", "_block", "_read")
+
+
 def tag_columns(columns: list[str], marker: str) -> list[str]:
     """Tag columns of a sheet in column order, without the percentages."""
     return [c for c in columns if marker in c and not c.endswith("%")]
@@ -79,8 +92,8 @@ def combine_survey_years(years: list[DataFrame]) -> DataFrame:
     reduced map-side before the shuffle instead of being sorted in one task.
     """
     rows = union_years(years)
-    if "sheet_row" not in rows.columns:   # a real sheet has no row numbers: ties go by a hash of the texts
-        rows = rows.withColumn("sheet_row", F.xxhash64(*BASE_COLS).bitwiseAND(F.lit((1 << 49) - 1)))
+    if "sheet_row" not in rows.columns:   # not read by load_sheet: rows of one key and year go by a hash, never the year
+        rows = rows.withColumn("sheet_row", F.xxhash64(*BASE_COLS))
     latest = latest_per_key(rows, ["FundingOrganisation", "OrganisationReference"], ["year", "sheet_row"])
     numeric = {f.name for f in latest.schema.fields
                if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -110,8 +123,9 @@ def read_second_source(raw: DataFrame, apply_placeholder_nulls: bool = False) ->
 
 
 def second_source_row() -> Column:
-    """Row number of a second-source record, never null: its reference when that is a
-    number under 10**10, else a 61-bit hash of reference and texts above all of those."""
+    """Order key of a second-source record, never null: its reference when that is a number under 10**10,
+    else a 61-bit hash of reference and texts above all of those.  It orders rows and identifies none
+    (``pre_clean`` numbers them)."""
     number = F.col("OrganisationReference").try_cast("bigint")
     hashed = F.xxhash64("OrganisationReference", "AwardTitle", "AwardAbstract").bitwiseAND(F.lit((1 << 61) - 1))
     return F.when(number.between(0, SECOND_ROW_LIMIT - 1), number).otherwise(hashed + F.lit(SECOND_ROW_LIMIT))
