@@ -77,6 +77,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                "key": [ks[j] for j in pick]}
 
     found = cut_lineage(arrow_map(src, suspects, "doc_id long, h long, key binary"))
+    shared.destroy()            # the suspects are a written table now
     # a table of its own: the join below then shuffles the suspects for itself, and AQE can split a hot key
     first = cut_lineage(found.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
                         .filter("first_doc < last_doc").select("key", "first_doc"))
