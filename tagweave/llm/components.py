@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step replaces a node's edges by edges to its smallest neighbour, so
     edges never outgrow the input and the number of rounds is logarithmic in
-    the component size.  Every round is a written table in the checkpoint folder.
+    the component size.  Every round is a written table in the checkpoint folder, and so are the smallest neighbours,
+    so that the joins with them shuffle the edges for themselves and a node with most edges can be split at run time.
     """
     e = cut_lineage(edges.select("u", "v").filter("u <> v").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         down = cut_lineage(down)
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -19,10 +19,13 @@ to four words is one shingle); pairs at 0.8 or more are linked.
    number of links and the smallest member it reaches: never pairs.
 5. Classes are the connected components of those stars.
 
+Nodes are shingle sets (numbered in a written table), never document ids: an id is only looked up at the end.
+
 Defined cases: null, empty or blank text has no shingles and no link; a null
 ``doc_id`` takes no part (its row keeps a null class); rows that repeat a
-``doc_id`` count as documents of their own that share that id; empty tables give empty results;
-extra columns are ignored.
+``doc_id`` with another text count as documents of their own that share that id, whatever the order of the rows;
+rows that repeat id and text are one document for ``drop_near_duplicates`` (they stay or go together); empty tables
+give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,49 +184,50 @@ def _cells(batches, columns: int):
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "rep")
+    return df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its linked group; itself
-    when alone), copy_id (smallest id with the same shingle set), n_links (other
-    documents at ``threshold`` or more, copies included)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document with words and an id: doc_id, text_md5, node (its class, as a number), class_id,
+    copy_id, n_links (see ``near_duplicates``)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sign(b: pa.RecordBatch):
-        sets = shingle_sets(b.column(1).to_pylist())
+        texts = b.column(1).to_pylist()
+        sets = shingle_sets(texts)
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = minhash([sets[i] for i in full])
         yield {"doc_id": b.column(0).take(pa.array(full, pa.int64())),
+               "text_md5": [hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest() for i in full],
                "digest": [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full],
                "n": [len(sets[i]) for i in full], "sig": [x.tobytes() for x in sig]}
 
-    signed = cut_lineage(arrow_map(src.filter("doc_id is not null"), sign, "doc_id long, digest binary, n int, sig binary"))
+    signed = cut_lineage(arrow_map(src.filter("doc_id is not null"), sign, "doc_id long, text_md5 binary, digest binary, n int, sig binary"))
     reps = cut_lineage(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                                    F.first("n").alias("n"), F.first("sig").alias("sig")))
+                                                    F.first("n").alias("n"), F.first("sig").alias("sig"))
+                       .withColumn("node", F.monotonically_increasing_id()))
 
     def bands(b: pa.RecordBatch):
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, K)
         key = band_keys(sig)
-        yield {"rep": np.repeat(b.column(0).to_numpy(), BANDS), "band": np.tile(np.arange(BANDS), len(sig)),
+        yield {"node": np.repeat(b.column(0).to_numpy(), BANDS), "band": np.tile(np.arange(BANDS), len(sig)),
                "key": key.view(np.int64).ravel()}
 
-    member = arrow_map(reps.select("rep", "sig"), bands, "rep long, band int, key long")
+    member = arrow_map(reps.select("node", "sig"), bands, "node long, band int, key long")
     bucket = cut_lineage(member.groupBy("key").agg(F.count(F.lit(1)).alias("n_in")).filter("n_in > 1"))
     met = member.join(bucket, "key")
     blocks = F.ceil(F.col("n_in") / BLOCK).cast("int")
-    cell = (met.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    cell = (met.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"),
                     F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"),
-                    "rep", "band"))
+                    "node", "band"))
     cell = cut_lineage(cell)
     least = least_matches(threshold)
 
     def prune(batches):
-        for key, lo, hi, side, rep, band, n, sig in _cells(batches, 8):
-            if len(rep) < 2:
+        for key, lo, hi, side, node, band, n, sig in _cells(batches, 8):
+            if len(node) < 2:
                 continue
             s = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, K)
             a, b = _cell_pairs(side, s, n, int(band[0]), threshold, least)
@@ -231,37 +235,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(live):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[live], pa.int64()), pa.array(lo[live], pa.int32()), pa.array(hi[live], pa.int32()),
-                     pa.array(side[live], pa.int32()), pa.array(rep[live], pa.int64()), pa.array(band[live], pa.int32())],
-                    names=["key", "lo", "hi", "side", "rep", "band"])
+                     pa.array(side[live], pa.int32()), pa.array(node[live], pa.int64()), pa.array(band[live], pa.int32())],
+                    names=["key", "lo", "hi", "side", "node", "band"])
 
-    withsig = cell.join(reps.select("rep", "n", "sig"), "rep").select("key", "lo", "hi", "side", "rep", "band", "n", "sig")
-    live = cut_lineage(_dealt(withsig).mapInArrow(prune, "key long, lo int, hi int, side int, rep long, band int"))
+    withsig = cell.join(reps.select("node", "n", "sig"), "node").select("key", "lo", "hi", "side", "node", "band", "n", "sig")
+    live = cut_lineage(_dealt(withsig).mapInArrow(prune, "key long, lo int, hi int, side int, node long, band int"))
 
     # one text of each class with survivors; rows that repeat a doc_id may differ, so the set is matched by its digest
-    wanted = live.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
-    texts = src.join(wanted, src["doc_id"] == wanted["rep"]).select("rep", "text", "digest")
+    wanted = live.select("node").distinct().join(reps.select("node", "rep", "digest"), "node")
+    texts = src.join(wanted, src["doc_id"] == wanted["rep"]).select("node", "text", "digest")
 
     def checked(b: pa.RecordBatch):
         sets = shingle_sets(b.column(1).to_pylist())
         ok = [i for i, (s, d) in enumerate(zip(sets, b.column(2).to_pylist()))
               if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]
-        yield {"rep": b.column(0).take(pa.array(ok, pa.int64())), "grams": [sets[i].tobytes() for i in ok]}
+        yield {"node": b.column(0).take(pa.array(ok, pa.int64())), "grams": [sets[i].tobytes() for i in ok]}
 
-    grams = arrow_map(texts, checked, "rep long, grams binary").dropDuplicates(["rep"])
-    grams = cut_lineage(grams.join(reps.select("rep", "copies", "sig"), "rep"))
+    grams = arrow_map(texts, checked, "node long, grams binary").dropDuplicates(["node"])
+    grams = cut_lineage(grams.join(reps.select("node", "copies", "sig"), "node"))
 
     def verify(batches):
-        for key, lo, hi, side, rep, band, copies, sig, raw in _cells(batches, 9):
+        for key, lo, hi, side, node, band, copies, sig, raw in _cells(batches, 9):
             s = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, K)
             sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
             a, b = _cell_pairs(side, s, np.array([len(x) for x in sets]), int(band[0]), threshold, least)
             a, b = _verified(a, b, sets, threshold)
             if not len(a):
                 continue
-            links = np.zeros(len(rep), dtype=np.int64)
+            links = np.zeros(len(node), dtype=np.int64)
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            root = np.arange(len(rep))
+            root = np.arange(len(node))
             while True:                                  # smallest member reachable inside the cell
                 low = root.copy()
                 np.minimum.at(low, a, root[b])
@@ -270,21 +274,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     break
                 root = low
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hit], pa.int64()), pa.array(rep[root[hit]], pa.int64()),
-                                              pa.array(links[hit], pa.int64())], names=["rep", "near", "links"])
-
-    full = live.join(grams, "rep").select("key", "lo", "hi", "side", "rep", "band", "copies", "sig", "grams")
-    stars = cut_lineage(_dealt(full).mapInArrow(verify, "rep long, near long, links long"))
-    links = stars.groupBy("rep").agg(F.sum("links").alias("links"))
-    root = components(stars.select(F.col("rep").alias("u"), F.col("near").alias("v")))
-    known = (reps.select("digest", "rep", "copies").join(links, "rep", "left")
-             .join(root.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("digest", F.col("rep").alias("copy_id"), F.coalesce("root", "rep").alias("class_id"),
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit], pa.int64()), pa.array(node[root[hit]], pa.int64()),
+                                              pa.array(links[hit], pa.int64())], names=["node", "near", "links"])
+
+    full = live.join(grams, "node").select("key", "lo", "hi", "side", "node", "band", "copies", "sig", "grams")
+    stars = cut_lineage(_dealt(full).mapInArrow(verify, "node long, near long, links long"))
+    links = stars.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = cut_lineage(components(stars.select(F.col("node").alias("u"), F.col("near").alias("v")))
+                        .join(reps.select("node", "rep"), "node"))
+    # a table of its own, so that the join can split a class that holds most nodes
+    class_ids = cut_lineage(roots.groupBy("root").agg(F.min("rep").alias("class_id")))
+    linked = roots.join(class_ids, "root").select("node", "root", "class_id")
+    known = (reps.select("digest", "node", "rep", "copies").join(links, "node", "left").join(linked, "node", "left")
+             .select("digest", F.coalesce("root", "node").alias("node"), F.col("rep").alias("copy_id"),
+                     F.coalesce("class_id", "rep").alias("class_id"),
                      (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    by_doc = signed.select("doc_id", "digest").join(known, "digest").drop("digest")
+    return signed.select("doc_id", "text_md5", "digest").join(known, "digest").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its linked group; itself
+    when alone), copy_id (smallest id with the same shingle set), n_links (other
+    documents at ``threshold`` or more, copies included)."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blank = arrow_map(src, lambda b: [_blank(b)], "doc_id long").select(
-        "doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return by_doc.unionByName(blank).select("doc_id", "class_id", "copy_id", "n_links")
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return (classes(docs, id_col, text_col, threshold).select("doc_id", "class_id", "copy_id", "n_links")
+            .unionByName(blank))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without the later documents of each class (smallest id stays, of equal ids the text with the
+    smallest digest); documents without words or without an id stay."""
+    got = cut_lineage(classes(docs, id_col, text_col, threshold).select("doc_id", "text_md5", "node", "class_id"))
+    # only ids that repeat can have two documents with the smallest id of one class
+    tied = (got.filter("doc_id = class_id").groupBy("node").agg(F.min("text_md5").alias("low"), F.max("text_md5").alias("high"))
+            .filter("low <> high").select("node", "low"))
+    later = (got.filter("doc_id <> class_id").select("doc_id", "text_md5")
+             .unionByName(got.filter("doc_id = class_id").join(tied, "node").filter("text_md5 <> low").select("doc_id", "text_md5"))
+             .distinct().select(F.col("doc_id").alias("_late_id"), F.col("text_md5").alias("_late_md5")))
+    late = cut_lineage(later)
+    same = (F.col(id_col) == F.col("_late_id")) & (F.unhex(F.md5(F.col(text_col))) == F.col("_late_md5"))
+    return docs.join(late, same, "left_anti")
 
 
 def _blank(b: pa.RecordBatch) -> dict:

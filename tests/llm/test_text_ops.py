@@ -13,7 +13,7 @@ from tagweave.llm.bpe import WordBpe, encode, word_bpe_path
 from tagweave.llm.licenses import BASE, TEMPLATES, Automaton, scan_licenses, words_of
 from tagweave.llm.lines import dedup_lines
 from tagweave.llm.mixing import counted_runs, drawn, mix
-from tagweave.llm.neardups import near_duplicates
+from tagweave.llm.neardups import drop_near_duplicates, near_duplicates
 from tagweave.llm.quality import GRIDS, binom_cdf, keep_good, pick_cutoffs, quality_verdicts
 from tagweave.llm.substrings import dedup_substrings
 from tagweave.llm.topk import exact_topk, threshold_topk
@@ -93,27 +93,37 @@ def test_near_duplicates(spark, docs):
         return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
     live = [(r["doc_id"], grams(r["text"])) for r in rows if r["doc_id"] is not None and grams(r["text"])]
-    links, near = Counter(), {}
-    for i, (a, x) in enumerate(live):
-        for j, (b, y) in enumerate(live):
-            if i != j and len(x & y) >= 0.8 * len(x | y):
-                links[i] += 1
-                near.setdefault(a, set()).add(b)
-
-    def root(a):
-        seen, todo = {a}, [a]
+    near = {i: {j for j, (_, y) in enumerate(live) if i != j and len(x & y) >= 0.8 * len(x | y)} for i, (_, x) in enumerate(live)}
+
+    def root(i):
+        seen, todo = {i}, [i]
         while todo:
-            for b in near.get(todo.pop(), ()):
-                if b not in seen:
-                    seen.add(b)
-                    todo.append(b)
-        return min(seen)
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(live[j][0] for j in seen)
 
-    want = Counter((a, root(a), links[i]) for i, (a, _) in enumerate(live))
+    want = Counter((a, root(i), len(near[i])) for i, (a, _) in enumerate(live))
     want += Counter((r["doc_id"], r["doc_id"], 0) for r in rows if r["doc_id"] is None or not grams(r["text"]))
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates(docs).collect()) == want
 
 
+def test_repeated_id_with_two_texts(spark):
+    """An id with a unique and a near-copy text: the same links and the same rows in every order of the rows."""
+    base = [f"w{i}" for i in range(100)]
+    texts = {"near": " ".join(base), "copy": " ".join([*base[:50], "x", *base[51:]]), "own": " ".join(f"u{i}" for i in range(80)),
+             "twin": " ".join([*(f"u{i}" for i in range(79)), "y"])}
+    rows = [(1, texts["near"]), (1, texts["own"]), (2, texts["twin"]), (5, texts["copy"]), (5, texts["near"]), (7, "alone"), (7, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_duplicates(df).collect())
+        assert got == Counter([(1, 1, 2), (1, 1, 1), (2, 1, 1), (5, 1, 2), (5, 1, 2), (7, 7, 0), (7, 7, 0)])
+        kept = Counter((r["doc_id"], r["text"]) for r in drop_near_duplicates(df).collect())
+        assert kept == Counter([(1, texts["near"]), (1, texts["own"]), (7, "alone"), (7, None)])
+    tied = spark.createDataFrame([(3, texts["near"]), (3, texts["copy"]), (4, texts["near"])], "doc_id long, text string")
+    assert drop_near_duplicates(tied).count() == 1
+
+
 def test_near_duplicates_of_a_large_group(spark):
     base = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(base[:k] + [f"v{i}"] + base[k + 1:])) for i in range(400) for k in [i % 150]]
