@@ -3,12 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
 with all their columns (the last one: the encoded documents).  Between stages the
 rows are written as Parquet in the shared checkpoint folder and read again.
+In every stage a null text is an empty one, and rows with a null or repeated id are documents of their own; an empty text fails
+the base rule of stage quality (below 50 words), a null source or language is a category like any other.
 
 * quality: documents that the rules reject go (base rule or a certified cutoff).
 * lines: a line that an earlier document holds is cut out of a text; every
   document stays, also one whose text becomes empty; ``n_chars`` follows the text.
-* near: of each group of linked documents the one with the smallest id stays;
-  documents without words or without an id are never linked and stay.
+* near: of each group of linked documents the one with the smallest id stays (rows are judged, not ids: an id that
+  repeats with another text is another document); documents without words or without an id are never linked and stay.
 * mix: documents are drawn by their raked weights, as many tokens as there are; a weight above 1 gives whole
   repeats of the row and a draw on the fraction, so a document may come several times.
 * encode: doc_id, lang, source, n_tokens, ids (decimal, joined by a space), decoded_sha256, copies; repeats that
@@ -34,9 +36,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = neardups.near_duplicates(docs)
-    later = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(cut_lineage(later), "doc_id", "left_anti").select(*docs.columns)
+    return neardups.drop_near_duplicates(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
