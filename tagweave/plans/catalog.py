@@ -23,6 +23,7 @@ from ..operators import labels as LB
 from ..operators import metrics as MT
 from ..operators import neardup as ND
 from ..operators import ranking as RK
+from ..operators import setjoin as SJ
 from ..operators import split as SP
 from ..sources import adapters as AD
 from ..sources import readers as RD
@@ -506,7 +507,8 @@ def q_minhash_signature(spark, sf):
 
 
 def q_near_dup_pairs(spark, sf):
-    p = ND.near_dup_pairs(_distinct_texts(spark, sf), "doc_id", "text")
+    """Exact, by prefix filtering."""
+    p = SJ.similar_pairs(_distinct_texts(spark, sf), "doc_id", "text")
     return p.select("a", "b", _r("jaccard").alias("jaccard"))
 
 
