@@ -33,8 +33,9 @@ def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
     freq = cut_lineage(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     need = F.ceil(F.col("n") * threshold - _EPS).cast("int")
     both = F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - _EPS).cast("int")
-    # a set's own shingles: bounded by one text
-    shared = (tokens.join(freq, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    # The counts are one row a shingle, dealt evenly by hash, so a hash table of a partition of them is small beside the
+    # tokens, which then need no sort.  The grouping gathers a set's own shingles: bounded by one text.
+    shared = (tokens.join(freq.hint("shuffle_hash"), "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
               .withColumn("alone", F.col("n") - F.size("s")).filter(F.size("s") >= need))
     places = F.greatest(F.col("n") - need + 1 - F.col("alone"), F.lit(0))
     return (shared.select("id", "n", "alone", both.alias("both"), F.posexplode(F.slice("s", F.lit(1), places)).alias("i", "c"))
