@@ -49,7 +49,7 @@ def test_results_do_not_depend_on_partitioning(spark):
 def test_no_cross_or_nested_loop_joins(spark):
     # Plans only (AQE off so the physical plan is final); queries that run
     # actions while being built (iterative rounds, streams, writes) are skipped.
-    eager = {"stream_tag", "fit_tagger", "split_iterative", "split_iterative_balance", "near_dup_keep",
+    eager = {"stream_tag", "fit_tagger", "score_trained", "tagger_held_out", "split_iterative", "split_iterative_balance", "near_dup_keep",
              "dedup_full", "build_clean", "split_write", "near_dup_pairs", "split_categories", "split_export", "downsample_tag"}
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
