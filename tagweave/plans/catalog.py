@@ -544,18 +544,37 @@ def q_fit_tagger(spark, sf):
         F.array(*[F.lit(x) for x in labels]), i + 1))).alias("tags"))
 
 
+def _trained(spark, sf):
+    """M7: the joint tagger fitted on the labelled documents, saved and loaded again."""
+    from ..streaming.joint import JointModel, fit_joint
+    df = AD.two_label(spark, sf)
+    model = fit_joint(df, "text", "tags", ["quality", "toxic"], "doc_id", dim=1 << 11, max_passes=25)
+    return df, JointModel.load(spark, model.save(spark, new_path(spark, "model"), "v1"))
+
+
+def q_score_trained(spark, sf):
+    """M6/M7: all documents scored and tagged with a trained model that was saved and loaded (rows-only check)."""
+    from ..streaming.stream import tag_frame
+    _, model = _trained(spark, sf)
+    t = tag_frame(read_table(spark, sf, "documents", ["doc_id", "text"]), model.scorer(spark), names=model.labels)
+    return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
+
+
+def q_tagger_held_out(spark, sf):
+    """M7: held-out support, precision, recall and F1 of the trained model, per label (rows-only check)."""
+    from ..streaming.joint import held_out_scores
+    df, model = _trained(spark, sf)
+    return held_out_scores(df, model, "text", "tags", "doc_id")
+
+
 def q_stream_tag(spark, sf):
     """The tagging stream over the documents file, run to completion."""
     from ..streaming.scoring import hashed_linear_scorer
-    from ..streaming.stream import run_stream
-    base = ensure_checkpoint_dir(spark)
-    run_id = uuid.uuid4().hex
-    sink = f"{base.rstrip('/')}/stream-tag-{run_id}/out"
-    ckpt = f"{base.rstrip('/')}/stream-tag-{run_id}/ckpt"
+    from ..streaming.stream import read_sink, run_stream
+    sink = new_path(spark, "stream-tag")
     schema = spark.read.parquet(os.path.join(sf, "documents.parquet")).schema
-    run_stream(spark, sf, schema, sink, hashed_linear_scorer(), checkpoint_path=ckpt,
-               glob="documents.parquet")
-    t = spark.read.parquet(sink)
+    run_stream(spark, sf, schema, sink, hashed_linear_scorer(), glob="documents.parquet")
+    t = read_sink(spark, sink)
     return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
 
 
