@@ -251,6 +251,31 @@ def test_metrics_match_brute_force(spark):
         assert r["t"] == (1 if kids else 0)
 
 
+def test_labels_outside_the_layout_are_counted(spark):
+    """Unknown codes, parents above 8, null labels, repeated rows and class lists longer than a long."""
+    t = spark.createDataFrame([(1, "1.1"), (1, "9.7"), (1, "9.7"), (2, "odd"), (3, None), (4, "1.99")], "row_id long, label string")
+    p = spark.createDataFrame([(1, "9.7"), (2, "1.2"), (4, "1.98"), (5, "odd")], "row_id long, label string")
+    got = {(r["level"], r["key"]): (r["tp"], r["fp"], r["fn"]) for r in MT.per_label(t, p, scopes=("all",)).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "detail"} == {
+        "1.1": (0, 0, 1), "9.7": (1, 0, 0), "odd": (0, 1, 1), "1.2": (0, 1, 0), "1.99": (0, 0, 1), "1.98": (0, 1, 0)}
+    assert got[("parent", "1")] == (1, 1, 1) and ("parent", "9") not in got and len(got) == 6 + 8 + 3
+    assert [(r["row_id"], r["t"], r["p"]) for r in MT.rolled_up(t, p, levels=("parent",)).filter("key = '9'").collect()] == [(1, 1, 1)]
+    many = spark.createDataFrame([(f"c{i:03d}",) for i in range(200)], "key string")
+    wide = spark.createDataFrame([(i, f"c{i:03d}") for i in range(150)], "row_id long, label string")
+    got = MT.per_label(wide, wide.filter("row_id % 2 = 0"), classes=many, scopes=("all",)).filter("level = 'detail'")
+    assert {r["key"]: (r["tp"], r["fp"], r["fn"]) for r in got.collect()} == {
+        f"c{i:03d}": (int(i < 150 and i % 2 == 0), 0, int(i < 150 and i % 2 == 1)) for i in range(200)}
+
+
+def test_metrics_scan_each_input_once(spark, tmp_path):
+    t = spark.createDataFrame([(1, "1.1")], "row_id long, label string")
+    t.write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(1, "Other")], "row_id long, FundingOrganisation string").write.parquet(f"{tmp_path}/m")
+    t, m = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/m")
+    plan = MT.level_counts(t, t, m)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 3 and "Join" not in plan
+
+
 def test_subgroup_with_no_rows(spark):
     t = spark.createDataFrame([(1, "1.1")], "row_id long, label string")
     meta = spark.createDataFrame([(1, "Other")], "row_id long, FundingOrganisation string")
