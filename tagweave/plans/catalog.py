@@ -27,6 +27,7 @@ from ..operators import setjoin as SJ
 from ..operators import split as SP
 from ..sources import adapters as AD
 from ..sources import readers as RD
+from ..sources.publish import publish, read_published
 from ..session import ensure_checkpoint_dir, read_table
 
 DEMO_FUNDER = "src3"
@@ -313,11 +314,11 @@ def q_binarise_labels(spark, sf):
 
 
 def q_downsample_tag(spark, sf):
-    """The down-sampled table, written to a new path and read back."""
-    lt = AD.line_tags(spark, sf)
-    out = new_path(spark, "downsampled")
-    LB.downsample(lt, "codes", DOWNSAMPLE_TARGET, DOWNSAMPLE_N, seed=2).write.mode("error").parquet(out)
-    return spark.read.parquet(out).select("row_id")
+    """The table is published, read, down-sampled and published over itself, and read back."""
+    path = new_path(spark, "downsampled")
+    publish(AD.line_tags(spark, sf).select("row_id", "codes"), path)
+    publish(LB.downsample(read_published(spark, path), "codes", DOWNSAMPLE_TARGET, DOWNSAMPLE_N, seed=2), path)
+    return read_published(spark, path).select("row_id")
 
 
 def _tagged_scores(spark, sf) -> DataFrame:
