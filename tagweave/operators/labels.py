@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import number_rows
+
 
 def to_long(df: DataFrame, tags_col: str, id_col: str = "row_id", label_col: str = "label") -> DataFrame:
     """List column -> long (id, label); null and empty lists contribute no rows."""
@@ -75,6 +77,29 @@ def binarise(df: DataFrame, tags_col: str, classes: list[str], keep: list[str] =
     return df.select(*cols)
 
 
+def label_index(df: DataFrame, tags_col: str) -> DataFrame:
+    """C14: (label, idx), the distinct labels numbered from 0 in sorted order; no driver list."""
+    labels = df.select(F.explode(tags_col).alias("label")).dropna().distinct()
+    return number_rows(labels, ["label"], "idx")
+
+
+def sparse_indicators(df: DataFrame, tags_col: str, index: DataFrame, keep: list[str] = ("row_id",)) -> DataFrame:
+    """C14 for large label sets: ``keep``, ``n_classes`` and ``indices``, the sorted places of the row's ones.
+
+    ``index`` is a (label, idx) table as of :func:`label_index`; labels that it lacks are left out.
+    Each distinct list is looked up once and joined back to its rows, so that a list on a third
+    of the rows costs one lookup and rows need no unique id.  A repeated label counts once, an empty list
+    gives no places, a null list null.
+    """
+    lists = df.select(F.col(tags_col).alias("_tags")).filter(F.size("_tags") > 0).distinct()
+    placed = (lists.select("_tags", F.explode(F.array_distinct("_tags")).alias("label")).join(index, "label")
+              .groupBy("_tags").agg(F.array_sort(F.collect_list("idx")).alias("_places")))
+    rows = df.select(*keep, F.col(tags_col).alias("_tags")).join(placed, "_tags", "left")
+    total = index.agg(F.count(F.lit(1))).scalar()
+    places = F.when(F.col("_tags").isNotNull(), F.coalesce("_places", F.array().cast("array<bigint>")))
+    return rows.select(*keep, total.alias("n_classes"), places.alias("indices"))
+
+
 def downsample(df: DataFrame, tags_col: str, target: list[str], n: int, seed: int = 2,
                id_col: str = "row_id") -> DataFrame:
     """Keep every row whose list is not exactly ``target``; of those

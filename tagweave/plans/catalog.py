@@ -313,6 +313,13 @@ def q_binarise_labels(spark, sf):
     return LB.binarise(lt, "codes", classes, keep=["row_id"])
 
 
+def q_sparse_indicators(spark, sf):
+    """C14 by an index table: the places of each row's labels among the sorted classes."""
+    lt = AD.line_tags(spark, sf)
+    s = LB.sparse_indicators(lt, "codes", LB.label_index(lt, "codes"))
+    return s.select("row_id", "n_classes", _j("indices").alias("indices"))
+
+
 def q_downsample_tag(spark, sf):
     """The table is published, read, down-sampled and published over itself, and read back."""
     path = new_path(spark, "downsampled")

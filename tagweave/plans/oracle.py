@@ -526,6 +526,11 @@ def build() -> dict[str, str]:
     classes = sorted(f"{p}.{s}" for p in range(1, 9) for s in range(1, 6))
     onehot = ", ".join(f"CAST(list_contains(codes, {lit(c)}) AS INTEGER) AS \"{c}\"" for c in classes)
     q["binarise_labels"] = L + f"SELECT row_id, {onehot} FROM line_tags"
+    places = "(SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT unnest(codes) AS label FROM line_tags))"
+    q["sparse_indicators"] = L + (
+        f"SELECT row_id, (SELECT count(*) FROM {places}) AS n_classes, string_agg(CAST(idx AS VARCHAR), '|' ORDER BY idx) AS indices "
+        f"FROM (SELECT DISTINCT row_id, idx FROM (SELECT row_id, unnest(codes) AS label FROM line_tags) JOIN {places} USING (label)) "
+        "GROUP BY row_id")
     q["downsample_tag"] = L + (
         "SELECT row_id FROM line_tags WHERE NOT coalesce(codes = ['4.2'], FALSE) UNION ALL "
         "SELECT row_id FROM (SELECT row_id FROM line_tags WHERE codes = ['4.2'] "

@@ -341,6 +341,18 @@ def test_splits_refuse_an_unbounded_label_universe(spark, monkeypatch):
     assert split_rarest(none, "codes").count() == split_iterative(none, "codes").count() == 0
 
 
+def test_sparse_indicators_of_many_labels(spark):
+    from tagweave.operators.labels import label_index, sparse_indicators
+    lists = [["b", "a", "b"], [], None, ["c", None], ["a"], ["a"]]
+    few = spark.createDataFrame([(1, x) for x in lists], "row_id long, tags array<string>")     # equal ids, one row each
+    got = [(r["n_classes"], r["indices"]) for r in sparse_indicators(few, "tags", label_index(few, "tags")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(3, x) for x in ([0, 1], [], None, [2], [0], [0])]))
+    many = spark.range(50_000).selectExpr("id AS row_id", "array(format_string('l%05d', id), format_string('l%05d', (id * 7) % 50000)) AS tags")
+    out = sparse_indicators(many, "tags", label_index(many, "tags"))
+    bad = out.filter("indices <> array_sort(array_distinct(array(row_id, (row_id * 7) % 50000))) OR n_classes <> 50000")
+    assert out.count() == 50_000 and bad.count() == 0
+
+
 def test_downsample_exact_n(spark):
     df = spark.createDataFrame([(i, ["2.1"] if i % 3 else ["1.1", "2.1"]) for i in range(60)] + [(99, None)],
                                "row_id long, codes array<string>")
