@@ -125,7 +125,7 @@ def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret scan of all documents: every candidate with its score."""
     return scan_secrets(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select(
         "doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"),
-        F.sha2("match", 256).alias("match_sha256"), F.round("prob", 6).alias("prob"), "is_secret")
+        F.sha2("match", 256).alias("match_sha256"), F.round("prob", 6).alias("prob"), "is_secret", "trained")
 
 
 def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:

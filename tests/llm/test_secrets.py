@@ -2,7 +2,7 @@
 
 import random
 
-from tagweave.llm.secrets import candidates, rule_findings, scan_secrets
+from tagweave.llm.secrets import candidates, held_out, rule_findings, scan_secrets
 
 from .data import SCHEMA, frame
 
@@ -57,6 +57,88 @@ def test_labelled_findings_decide(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+def plain_candidates(text):
+    """Character by character: values set to a name, else maximal runs of key characters."""
+    key = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+-")
+    out, i = [], 0
+    while i < len(text):
+        if text[:i].endswith(("token=", "secret: ", "password = ")):
+            j = i
+            while j < len(text) and not text[j].isspace():
+                j += 1
+            end = j
+            while end > i and text[end - 1] in "\"',;.)}]":
+                end -= 1
+            if end - i >= 6:
+                out.append((i, end))
+                i = end
+                continue
+        if text[i] in key and (i == 0 or text[i - 1] not in key):
+            j = i
+            while j < len(text) and text[j] in key:
+                j += 1
+            run = text[i:j]
+            has = any(c.isdigit() for c in run), any(c.isalpha() for c in run)
+            if j - i >= 12 and has[0] and (has[1] or run.isdigit()):
+                if has[1]:
+                    while j < len(text) and text[j] == "=" and j - i < len(run) + 2:
+                        j += 1
+                out.append((i, j))
+                i = j
+                continue
+        i += 1
+    return out
+
+
+def test_candidates_against_a_plain_scan(spark):
+    rng = random.Random(9)
+
+    def value(chars, n):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 12)):
+            parts.append(rng.choice([
+                lambda: value("abc1289_/+-", rng.randint(8, 16)), lambda: value("0123456789", rng.randint(10, 18)),
+                lambda: rng.choice(["token=", "secret: ", "password = "]) + value("abXY12.!@$", rng.randint(3, 12)),
+                lambda: "words \u00e9\U0001f600", lambda: value("aB3", 14) + "==", lambda: value("0123456789-", 15)])())
+        texts.append(rng.choice([" ", "\n", " ; "]).join(parts))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["start"], r["end"]) for r in candidates(docs, []).collect()}
+    assert got == {(i, *span) for i, t in enumerate(texts) for span in plain_candidates(t)}
+    assert len(got) > 500
+
+
+def test_long_numbers_make_the_second_class(spark):
+    rng = random.Random(4)
+    rows = [(i, f"token = \"{rng.getrandbits(160):040x}\" and card {rng.randrange(10**15, 10**16)} end", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = scan_secrets(docs).collect()
+    assert len(got) == 120 and all(r["trained"] for r in got)
+    assert all(r["is_secret"] == (r["end"] - r["start"] == 40) for r in got)
+    row = held_out(docs).first()
+    assert 0 < row["positives"] < row["n"] < 60 and row["precision"] == row["recall"] == 1.0
+    only = scan_secrets(docs.selectExpr("doc_id", "split(text, 'card')[0] text", "source")).collect()
+    assert len(only) == 60 and all(r["prob"] == 1.0 and not r["trained"] for r in only)
+
+
+def test_findings_of_repeated_ids_go_by_their_match(spark):
+    a, b = "token=9f51a5499e3950eabef3742d6cf4", "token=0b27b4e61a749f51a5499e3950ea"
+    docs = spark.createDataFrame([(1, t, "s") for t in (a, b)] * 20, "doc_id long, text string, source string")
+    findings = spark.createDataFrame([(1, 6, a[6:], 1.0), (1, 6, b[6:], 0.0)], "doc_id long, start long, match string, label double")
+    got = scan_secrets(docs, findings).collect()
+    assert len(got) == 40 and all(r["is_secret"] == (r["match"] == a[6:]) for r in got)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=a{i:07d}" for i in range(5000))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    got = candidates(docs, []).collect()
+    assert len(got) == 5000 and all(text[r["start"]:r["end"]] == r["match"] for r in got)
+
+
 def test_odd_rows(spark):
     got = scan_secrets(frame(spark)).collect()
     assert any(r["end"] - r["start"] == 40 for r in got)
