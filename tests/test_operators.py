@@ -59,6 +59,38 @@ def test_label_names_unknown_type():
         label_names("huge")
 
 
+def test_winners_by_packed_and_plain_order(spark):
+    import random
+    from tagweave.operators.dedup import latest_per_key
+    rng = random.Random(5)
+    longs = [None, -2**63, -1, 0, 1, 2**63 - 1]
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, -2**31, 0, 2022, 2**31 - 1]), rng.choice(longs), rng.choice(longs), i)
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, y int, r long, z long, at int").repartition(7)
+    for order in (["y", "r"], ["y", "z", "r"]):      # one decimal; too wide for one: a struct
+        places = {"y": 1, "r": 2, "z": 3}
+
+        def rank(row):
+            return tuple((row[places[c]] is not None, row[places[c]] or 0) for c in order)
+        best = {}
+        for row in rows:
+            best[row[0]] = max(best.get(row[0], rank(row)), rank(row))
+        got = latest_per_key(df, ["k"], order)
+        found = {r["k"]: rank(tuple(r[c] for c in ("k", "y", "r", "z"))) for r in got.collect()}
+        assert got.count() == len(best) and found == best       # ties leave one row
+    assert latest_per_key(df.filter("false"), ["k"], ["y"]).count() == 0
+
+
+def test_winners_are_found_by_a_hash_aggregate(spark):
+    from tagweave.operators.dedup import _order, winning_places
+    rows = spark.range(30).selectExpr("id", "cast(id % 7 as int) y", "id % 3 k", "id __at", "repeat('text', 9) t")
+    last = winning_places(rows, [F.md5(F.col("k").cast("string"))], _order(rows, ["y", "id"]))
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert "SortAggregate" not in dedup_exact(rows, "t", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert {r["__at"] for r in last.collect()} == {20, 27, 13}
+
+
 def test_dedup_exact_last_wins_and_idempotent(spark):
     df = spark.createDataFrame([(1, "Hello World"), (2, "hello world"), (3, "Other"), (4, "HELLO world")],
                                "index long, AllText string")
