@@ -7,7 +7,6 @@ compare by value with the SQL twins in ``oracle``.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,7 @@ from ..operators import split as SP
 from ..sources import adapters as AD
 from ..sources import readers as RD
 from ..sources.publish import publish, read_published
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import ensure_checkpoint_dir, read_table, table_path
 
 DEMO_FUNDER = "src3"
 RULES = {"AwardTitle": DEMO_TITLE_RULES, "AwardAbstract": DEMO_ABSTRACT_RULES}
@@ -576,12 +575,14 @@ def q_tagger_held_out(spark, sf):
 
 
 def q_stream_tag(spark, sf):
-    """The tagging stream over the documents file, run to completion."""
+    """The tagging stream over the documents table (one file or a folder of part files), run to completion."""
     from ..streaming.scoring import hashed_linear_scorer
     from ..streaming.stream import read_sink, run_stream
     sink = new_path(spark, "stream-tag")
-    schema = spark.read.parquet(os.path.join(sf, "documents.parquet")).schema
-    run_stream(spark, sf, schema, sink, hashed_linear_scorer(), glob="documents.parquet")
+    source = table_path(sf, "documents")
+    schema = spark.read.parquet(source).schema
+    # a pattern for this one name: a file stream lists a folder below it, and takes a plain file too
+    run_stream(spark, f"{source[:-1]}[{source[-1]}]", schema, sink, hashed_linear_scorer())
     t = read_sink(spark, sink)
     return t.select("doc_id", _j("labels").alias("labels"), F.size("labels").alias("n_tags"))
 

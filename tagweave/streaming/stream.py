@@ -38,7 +38,7 @@ def run_stream(spark: SparkSession, source_path: str, schema, sink_path: str,
                after_write: Callable[[int], None] | None = None) -> None:
     """Run the tagging stream to completion over the files present now, each file's rows exactly once.
 
-    ``source_path`` is a directory; ``glob`` restricts it to matching files.  Below ``sink_path``:
+    ``source_path`` is a directory or a pattern; ``glob`` restricts it to files of matching names.  Below ``sink_path``:
 
     * ``data/batch_id=N``: the rows of batch N, written whole (a repeated batch replaces its own rows);
     * ``ledger/batch_id=N``: one row, written afterwards: only then the batch counts (``read_sink``);

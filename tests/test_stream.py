@@ -50,3 +50,22 @@ def test_sinks_do_not_share_offsets(spark, source, tmp_path):
         assert ids(spark, tmp_path / sink) == list(range(7))
     with pytest.raises(ValueError):
         run(spark, src, tmp_path / "one", checkpoint_path=str(tmp_path / "two" / "checkpoint"))
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_documents_as_one_file_or_as_a_folder(spark, tmp_path, folder):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tagweave.plans.catalog import QUERIES
+
+    table = pa.table({"doc_id": pa.array(range(20), pa.int64()), "text": [f"some words {i}" for i in range(19)] + [None]})
+    path = tmp_path / "documents.parquet"
+    if folder:
+        path.mkdir()
+        for k in range(2):
+            pq.write_table(table.slice(10 * k, 10), path / f"part-{k}.parquet")
+    else:
+        pq.write_table(table, path)
+    rows = [sorted(map(tuple, QUERIES[q](spark, str(tmp_path)).collect())) for q in ("stream_tag", "score_batch")]
+    assert len(rows[0]) == 20 and rows[0] == rows[1]
