@@ -8,12 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import cut_lineage, ensure_checkpoint_dir, ship_package, table_path
+from ..session import bound_batches, cut_lineage, ensure_checkpoint_dir, ship_package, table_path
 
 __all__ = ["arrow_map", "bound_batches", "cut_lineage", "read", "slices", "with_column_schema"]
 
 SLICE_BYTES = 2 << 20
-BATCH_BYTES = 8 << 20      # of one Arrow batch between the JVM and a worker (Spark's default: 64 MiB)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,15 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(table_path(sf_dir, name)).select(*columns)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES`` (a lower one stays):
-    both sides of the pipe hold a whole batch, and rows here can be long texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, f"{64 << 20}b").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into row ranges of about ``max_bytes`` (one row at least)."""
     for b in batches:

@@ -443,3 +443,43 @@ def test_label_counts_zero_filled(spark):
     got = {(r["split"], r["label"]): r["count"] for r in LB.label_counts(long, classes).collect()}
     assert got == {("train", "a"): 1, ("test", "a"): 1, ("train", "b"): 1, ("test", "b"): 0,
                    ("train", "c"): 0, ("test", "c"): 0}
+
+
+def test_minima_of_long_texts_by_runs():
+    """The signature kernel by runs gives the minima over all distinct shingles, and holds no product of the whole batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    a, b = ND._coefficients(126, 5)
+    for n in (1, 9, ND.RUN + 8, 5 * ND.RUN + 17):
+        text = "".join(chr(c) for c in rng.integers(97, 123, n))
+        out = np.empty(126, dtype=np.uint64)
+        ND._minima(ND._char_hashes(text, 9), a, b, out)
+        with np.errstate(over="ignore"):
+            want = (ND._char_shingles(text, 9)[:, None] * a + b).min(axis=0)
+        assert (out == want).all()
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 20_000)) for _ in range(100)]
+    kernel = ND._minhash_udf(126, 5, "char", 9).func
+    tracemalloc.start()
+    sig = kernel(pd.Series(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sig) == 100 and peak < 16_000_000      # before: over 40 MB, growing with the batch
+
+
+def test_small_buckets_read_texts_of_likely_pairs_only(spark, monkeypatch):
+    """Texts that meet in a band by chance are dropped by their minima before any text is read."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    shared = [" ".join(rng.sample(words, 30)) for _ in range(4)]
+    texts = [rng.choice(shared) + " " + " ".join(rng.sample(words, 45)) for _ in range(60)]
+    texts += [t[:-6] + "changed" for t in texts[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    read = []
+    whole = ND.exact_jaccard
+    monkeypatch.setattr(ND, "exact_jaccard", lambda pairs, *a, **k: read.append(pairs.count()) or whole(pairs, *a, **k))
+    kept = {r["id"] for r in ND.near_dup_keep(df, "id", "t").collect()}
+    met = ND.candidate_pairs(ND.signatures(df, "id", "t")).count()
+    assert kept == set(range(60)) and 5 <= read[0] < met / 3
