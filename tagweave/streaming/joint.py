@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,14 @@ ROWS = 256                     # rows of one matrix product
 _WORD = re.compile(r"\w+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def hashed(text: str | None, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values (Euclidean length 1) of a text's word counts; place ``dim`` is the constant."""
-    at = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % dim for w in _WORD.findall((text or "").lower())), dtype=np.int32)
+    at = (np.array([_crc(w) for w in _WORD.findall((text or "").lower())], dtype=np.int64) % dim).astype(np.int32)
     place, n = np.unique(at, return_counts=True)
     value = n / np.sqrt((n * n).sum()) if len(n) else n.astype(np.float64)
     return np.append(place, dim).astype(np.int32), np.append(value, 1.0)
@@ -50,6 +56,16 @@ def dense(pairs: list, dim: int) -> np.ndarray:
     return x
 
 
+def dense_rows(place: pa.Array, value: pa.Array, at: int, to: int, dim: int) -> np.ndarray:
+    """``dense`` of the rows ``at`` to ``to`` of two list columns (no null lists), without a Python object a place."""
+    starts = place.offsets.to_numpy()[at:to + 1]
+    first = value.offsets.to_numpy()[at]
+    x = np.zeros((len(starts) - 1, dim + 1))
+    rows = np.repeat(np.arange(len(x)), np.diff(starts))
+    x[rows, place.values.to_numpy()[starts[0]:starts[-1]]] = value.values.to_numpy()[first:first + len(rows)]
+    return x
+
+
 @dataclass
 class JointModel:
     labels: list[str]
@@ -118,10 +134,10 @@ def _pass(feats: DataFrame, model: JointModel, weight: np.ndarray) -> tuple[np.n
         grad, loss, rows, counts = np.zeros_like(w), np.zeros(2), np.zeros(2), np.zeros((3, n_labels))
         for b in batches:
             held = b.column(0).to_numpy(zero_copy_only=False)
-            place, value, ys = (b.column(i).to_pylist() for i in (1, 2, 3))
+            ys = b.column(3).to_pylist()
             for at in range(0, len(held), ROWS):
                 part = slice(at, at + ROWS)
-                x = dense(list(zip(place[part], value[part])), dim)
+                x = dense_rows(b.column(1), b.column(2), at, min(at + ROWS, len(held)), dim)
                 y = np.zeros((len(x), n_labels))
                 for i, ls in enumerate(ys[part]):
                     y[i, ls] = 1

@@ -90,3 +90,18 @@ def test_passes_do_not_depend_on_the_labels(spark):
     assert len(few.history) == len(many.history) == 4 and few.weights.shape == (65, 2) and many.weights.shape == (65, 62)
     none = J.fit_joint(df.limit(0), "text", "tags", ["t0"], dim=64, max_passes=2)
     assert not none.weights.any()
+
+
+def test_rows_of_a_batch_without_python_lists():
+    """The dense rows of any part of an Arrow batch, sliced or not, as from Python lists."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tagweave.streaming.joint import dense, dense_rows, hashed
+    pairs = [hashed(t, 64) for t in ("a b b c", "", None, "d " * 70, "e f g", "a c")]
+    place = pa.array([p for p, _ in pairs], pa.list_(pa.int32()))
+    value = pa.array([v for _, v in pairs], pa.list_(pa.float64()))
+    for at, to in ((0, 6), (1, 4), (5, 6)):
+        assert (dense_rows(place, value, at, to, 64) == dense(pairs[at:to], 64)).all()
+    assert (dense_rows(place.slice(2), value.slice(2), 1, 3, 64) == dense(pairs[3:5], 64)).all()
+    assert np.isclose(np.linalg.norm(hashed("a b b c", 64)[1][:-1]), 1)
