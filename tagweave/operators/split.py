@@ -119,22 +119,21 @@ def split_categories(df: DataFrame, categories: list[str], id_col: str = "row_id
                      cased: bool = False, splitter: Callable[..., DataFrame] | None = None) -> DataFrame:
     """One split per category over one input, as a single plan with a
     ``category`` column.  ``splitter`` is :func:`split_rarest` (one pass) or
-    :func:`split_iterative` (closer shares per label, one round per label).  The input is read by every category twice (split
-    and payload), so it is materialised once as a table in the checkpoint
+    :func:`split_iterative` (closer shares per label, one round per label).  The input is read by every category's split and once
+    for the payload, so it is materialised once as a table in the checkpoint
     folder instead of being recomputed per branch."""
     from ..session import cut_lineage
     df = cut_lineage(df.select(id_col, text_col, *categories, *meta_cols))
     text = F.col(text_col) if cased else F.lower(F.col(text_col))
-    parts = []
+    splits = None
     for cat in categories:
-        s = (splitter or split_rarest)(df, cat, id_col, test_share, seed).select(id_col, "split")
-        parts.append(
-            df.select(id_col, text.alias("text"), F.col(cat).alias("labels"), *meta_cols)
-              .join(s, id_col).withColumn("category", F.lit(cat.lower())))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        s = (splitter or split_rarest)(df, cat, id_col, test_share, seed).select(id_col, "split", F.lit(cat).alias("_cat"))
+        splits = s if splits is None else splits.unionByName(s)
+    # one join for all categories: the texts are moved once, the narrow (id, split, category) rows meet them.  A repeated
+    # id meets its own category's rows only, so a row of null labels still goes with its id's split.
+    labels = F.coalesce(*[F.when(F.col("_cat") == cat, F.col(cat)) for cat in categories])
+    return (df.join(splits, id_col)
+              .select(id_col, text.alias("text"), labels.alias("labels"), *meta_cols, "split", F.lower("_cat").alias("category")))
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -185,8 +184,8 @@ def split_iterative(df: DataFrame, labels_col: str, id_col: str = "row_id",
     ranked once in their set by md5(id | seed), and the first ones go to test.
 
     The driver holds the demand and remaining count of each label (at most
-    ``MAX_LABELS``, else ``ValueError``); there is one round per label, whose
-    settled sets are written to the checkpoint folder and read back together.
+    ``MAX_LABELS``, else ``ValueError``); there is one round per label, which scans
+    the table of sets once: its settled sets are written to the checkpoint folder, counted there and read back together.
     """
     from ..session import cut_lineage, ensure_checkpoint_dir
 
@@ -201,6 +200,7 @@ def split_iterative(df: DataFrame, labels_col: str, id_col: str = "row_id",
     want_all_test = test_share * (sets.agg(F.sum("_n")).first()[0] or 0)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/split-{uuid.uuid4().hex}"
     done: list[str] = []
+    extra: dict[int, str] = {}        # by round: the last key that gets one row more
     while any(remaining.values()):
         lab = min((x for x in remaining if remaining[x] > 0), key=lambda x: (remaining[x], x))
         open_rows = remaining[lab]
@@ -209,25 +209,26 @@ def split_iterative(df: DataFrame, labels_col: str, id_col: str = "row_id",
         need = F.aggregate("_labs", F.lit(0.0), lambda a, m: a + ratio[m]) / F.size("_labs")
         late = F.floor((1 - F.greatest(F.least(need, F.lit(1.0)), F.lit(0.0))) * 10 ** 12).cast("long").cast("string")
         cand = sets.filter(F.array_contains("_labs", lab) & ~F.arrays_overlap("_labs", F.lit(done).cast("array<string>")))
-        cand = cand.select("_set", "_labs", "_n", F.expr(f"(_n * {k}) div {open_rows}").alias("_t"),
-                           F.concat(F.lpad(late, 13, "0"), "_set").alias("_key"))
-        seen = cand.agg(F.count(F.lit(1)).alias("sets"), F.sum("_t").alias("given")).first()
+        cand.select("_set", "_labs", "_n", F.expr(f"(_n * {k}) div {open_rows}").alias("_t"),
+                    F.concat(F.lpad(late, 13, "0"), "_set").alias("_key")).write.parquet(f"{path}/round={len(done)}")
+        settled = spark.read.parquet(f"{path}/round={len(done)}")        # the rest of the round reads its own sets only
+        seen = settled.agg(F.count(F.lit(1)).alias("sets"), F.sum("_t").alias("given")).first()
         if k > seen["given"]:
-            last = _nth_key(cand.select("_key"), k - seen["given"], seen["sets"])
-            cand = cand.withColumn("_t", F.col("_t") + (F.col("_key") <= last).cast("long"))
-        cand.drop("_key").write.parquet(f"{path}/round={len(done)}")
-        settled = spark.read.parquet(f"{path}/round={len(done)}")
-        for m, n in label_totals(settled, "_labs", "_n").items():
+            extra[len(done)] = _nth_key(settled.select("_key"), k - seen["given"], seen["sets"])
+        test = F.col("_t") + (F.col("_key") <= F.lit(extra.get(len(done), ""))).cast("long")
+        long = settled.select(F.explode("_labs").alias("label"), "_n", test.alias("_t"))
+        for m, n, t in long.groupBy("label").agg(F.sum("_n"), F.sum("_t")).collect():
             remaining[m] -= n
-            want_train[m] -= n
-        for m, n in label_totals(settled, "_labs", "_t").items():
-            want_test[m] -= n
-            want_train[m] += n
+            want_train[m] += t - n
+            want_test[m] -= t
         want_all_test -= k
         done.append(lab)
     bare = sets.filter(F.size("_labs") == 0)
     rest = F.lit(max(math.floor(want_all_test + 0.5), 0)).cast("long")
-    bare.withColumn("_t", F.least("_n", rest)).write.parquet(f"{path}/round={len(done)}")
-    taken = spark.read.parquet(path).select("_set", "_t")
+    (bare.select("_set", "_labs", "_n", F.least("_n", rest).alias("_t"), F.lit("none").alias("_key"))
+         .write.parquet(f"{path}/round={len(done)}"))
+    last = F.create_map().cast("map<int,string>") if not extra else F.map_from_arrays(F.lit(list(extra)), F.lit(list(extra.values())))
+    one_more = F.coalesce(F.col("_key") <= F.try_element_at(last, F.col("round")), F.lit(False)).cast("long")
+    taken = spark.read.parquet(path).select("_set", (F.col("_t") + one_more).alias("_t"))
     return (rank_in_groups(rows.drop("_labs"), "_set", "_h", id_col).join(taken, "_set")
             .select(id_col, F.when(F.col("rank") <= F.col("_t"), "test").otherwise("train").alias("split")))

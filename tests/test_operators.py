@@ -483,3 +483,33 @@ def test_small_buckets_read_texts_of_likely_pairs_only(spark, monkeypatch):
     kept = {r["id"] for r in ND.near_dup_keep(df, "id", "t").collect()}
     met = ND.candidate_pairs(ND.signatures(df, "id", "t")).count()
     assert kept == set(range(60)) and 5 <= read[0] < met / 3
+
+
+def test_categories_move_the_texts_once(spark):
+    """One join for all categories, with the rows of a split and a join by category; ids may repeat and labels be null."""
+    from tagweave.operators.split import split_categories
+    data = [(i % 37, f"Text {i}", [f"a{i % 3}"], [f"b{i % 4}"] if i % 5 else None, "f") for i in range(40)] + [(None, "x", ["a1"], [], "f")]
+    df = spark.createDataFrame(data, "row_id int, AllText string, RA array<string>, HC array<string>, FundingOrganisation string")
+    got = split_categories(df, ["RA", "HC"])
+    want = []
+    for cat in ("RA", "HC"):
+        s = split_rarest(df, cat, "row_id").select("row_id", "split")
+        want += [(*r, cat.lower()) for r in df.select("row_id", F.lower("AllText"), cat, "FundingOrganisation").join(s, "row_id").collect()]
+    key = lambda r: str(tuple(r))
+    assert got.columns == ["row_id", "text", "labels", "FundingOrganisation", "split", "category"]
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AllText") <= 3 and "Union" in plan      # before: the text column was scanned by every category
+
+
+def test_iterative_rounds_scan_the_sets_once(spark, monkeypatch):
+    """A round's choice reads the round's own sets, not the table of all sets."""
+    from tagweave.operators import split as SP
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, rng.sample([f"l{j}" for j in range(9)], rng.randrange(4))) for i in range(300)], "row_id long, codes array<string>")
+    read = []
+    nth = SP._nth_key
+    monkeypatch.setattr(SP, "_nth_key", lambda keys, *a: read.extend(keys.inputFiles()) or nth(keys, *a))
+    rows = split_iterative(df, "codes", "row_id").collect()
+    assert len(rows) == 300 and 60 <= sum(r["split"] == "test" for r in rows) <= 90
+    assert read and all("/round=" in f for f in read)
