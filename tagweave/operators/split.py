@@ -144,7 +144,10 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_export(df: DataFrame, labels_col: str, path: str, text_col: str, meta_cols: list[str],
                  id_col: str = "row_id", splitter: Callable[..., DataFrame] | None = None, **split_opts) -> None:
     """``data`` (row id, one 0/1 column per sorted class, text last),
-    partitioned by split, and ``meta`` (row id and metadata), below a new path."""
+    partitioned by split, and ``meta`` (row id and metadata), below a new path.  The input is read four times
+    (classes, split, data, meta), so it is materialised once as a table in the checkpoint folder."""
+    from ..session import cut_lineage
+    df = cut_lineage(df.select(id_col, labels_col, text_col, *meta_cols))
     classes = class_list(df, labels_col)
     s = (splitter or split_rarest)(df, labels_col, id_col, **split_opts).select(id_col, "split")
     rows = df.join(s, id_col)

@@ -513,3 +513,19 @@ def test_iterative_rounds_scan_the_sets_once(spark, monkeypatch):
     rows = split_iterative(df, "codes", "row_id").collect()
     assert len(rows) == 300 and 60 <= sum(r["split"] == "test" for r in rows) <= 90
     assert read and all("/round=" in f for f in read)
+
+
+def test_export_computes_its_input_once(spark, tmp_path):
+    from tagweave.operators.split import write_export
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        calls.add(1)
+        return t
+
+    df = spark.createDataFrame([(i, [f"l{i % 3}"], f"text {i}", "f") for i in range(30)], "row_id long, codes array<string>, t string, m string")
+    df = df.withColumn("t", F.udf(seen)("t")).filter(F.length("t") > 0)
+    write_export(df, "codes", str(tmp_path / "out"), "t", ["m"])
+    data = spark.read.parquet(str(tmp_path / "out" / "data"))
+    assert data.count() == 30 and set(data.columns) == {"row_id", "l0", "l1", "l2", "text", "split"}
+    assert calls.value <= 60      # once, or twice where the filter computes it again; before: 120 at least
