@@ -10,11 +10,13 @@ document, reference start); factors under ``size`` (13) words are literals.
    two filters of :mod:`.bloom`; only windows whose seed occurs in two
    documents can be copied, the rest are literals and leave the map task.
 2. Index.  The reference blocks are the hash partitions of the remaining
-   windows; each holds, per window, its first document and the position there.
-3. Parse.  The windows look their block up (a shuffle join that AQE can
-   split); each document gets its copied windows with their reference
-   positions and is factored greedily from the left: a factor grows while the
-   next window continues at the next reference position.
+   windows, sorted; the first row of a window is its reference (first document
+   and the position there).  The windows are computed and shuffled once, for
+   the index and the lookup.
+3. Parse.  Each window takes its reference from its block (the rows of one
+   window are streamed and spill); each document gets its copied windows with
+   their reference positions and is factored greedily from the left: a factor
+   grows while the next window continues at the next reference position.
 4. Factor boundaries.  A copied window may begin inside one factor and end in
    the next one or in a literal.  Each was looked up too, so it opens a factor
    of its own; the union of all factors is exactly the set of words in copied windows.
@@ -34,11 +36,11 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bloom import repeat_filter
-from .common import arrow_map, cut_lineage
+from .common import arrow_map
 from .words import gram_hashes, mix, ragged, word_hashes
 
 WINDOW = 13
@@ -95,11 +97,9 @@ def copied_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield {"doc_id": b.column(0).to_numpy()[doc[one]], "pos": pos[one].astype(np.int32), "h": h[one].view(np.int64)}
 
     found = arrow_map(src, suspects, "doc_id long, pos int, h long")
-    index = cut_lineage(
-        found.groupBy("h").agg(F.min("doc_id").alias("ref_doc"), F.min_by("pos", "doc_id").alias("ref_pos"),
-                               F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").drop("n"))
-    return (found.select("doc_id", "h").join(index, "h").filter("doc_id > ref_doc")
+    same = Window.partitionBy("h").orderBy("doc_id", "pos")
+    looked_up = found.select("doc_id", "h", F.first("doc_id").over(same).alias("ref_doc"), F.first("pos").over(same).alias("ref_pos"))
+    return (looked_up.filter("doc_id > ref_doc")
             .groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("h", "ref_doc", "ref_pos")]))
 
 

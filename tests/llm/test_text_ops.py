@@ -15,7 +15,7 @@ from tagweave.llm.lines import dedup_lines
 from tagweave.llm.mixing import counted_runs, drawn, mix
 from tagweave.llm.neardups import drop_near_duplicates, near_duplicates
 from tagweave.llm.quality import GRIDS, binom_cdf, keep_good, pick_cutoffs, quality_verdicts
-from tagweave.llm.substrings import dedup_substrings
+from tagweave.llm.substrings import copied_windows, dedup_substrings
 from tagweave.llm.topk import exact_topk, threshold_topk
 
 from .data import frame
@@ -56,6 +56,18 @@ def test_substrings(spark, docs):
     assert factors and all(f["length"] >= 13 for f in factors)
 
 
+def test_windows_are_shuffled_once(spark):
+    """One shuffle and no join serve index and lookup; a hot window, and one repeated in a document or under its id, give the first place."""
+    common = " ".join(f"c{i}" for i in range(13))
+    rows = [(7, f"x {common} y {common}"), (3, f"a b {common}"), (3, f"{common} z"), (None, common), *((100 + i, common) for i in range(300))]
+    out = copied_windows(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {7, *range(100, 400)}
+    assert all(set(zip(r["ref_doc"], r["ref_pos"])) == {(3, 0)} and len(set(r["h"])) == 1 for r in got.values())
+
+
 def test_lines(spark, docs):
     rows = docs.collect()
 
