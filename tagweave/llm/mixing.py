@@ -56,7 +56,8 @@ def topic_of(text: Column) -> Column:
 
 def tempered(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
     """(value, share): token shares to the power ``alpha``, scaled to one."""
-    m = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).select(F.col(dim).alias("value"), F.pow(F.col("t").cast("double"), alpha).alias("p"))
+    m = cut_lineage(cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
+                    .select(F.col(dim).alias("value"), F.pow(F.col("t").cast("double"), alpha).alias("p")))
     total = m.agg(F.sum("p")).first()[0] or 1.0
     return m.select("value", (F.col("p") / total).alias("share"))
 
@@ -64,31 +65,29 @@ def tempered(cells: DataFrame, dim: str, alpha: float = ALPHA) -> DataFrame:
 def fit(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """The cells (dimensions, tokens) plus ``factor``, raked to the targets of each dimension."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goals = {}
+    state = cells.withColumn("factor", F.lit(1.0))
     for dim, t in targets.items():
         have = cells.groupBy(dim).agg(F.sum("tokens").alias("have"))
-        g = have.join(t.select(F.col("value").alias("_v"), "share"), F.col(dim).eqNullSafe(F.col("_v")), "left")
+        g = cut_lineage(have.join(t.select(F.col("value").alias("_v"), "share"), F.col(dim).eqNullSafe(F.col("_v")), "left"))
         sums = g.agg(F.sum(F.when(F.col("share").isNull(), F.col("have")).otherwise(0)).alias("unlisted"),
                      F.sum("share").alias("listed")).first()
         rest = total - (sums["unlisted"] or 0)
-        goals[dim] = cut_lineage(g.select(F.col(dim).alias("_v"), F.when(
-            F.col("share").isNull(), F.col("have").cast("double")).otherwise(F.col("share") * (rest / (sums["listed"] or 1.0))).alias("_goal")))
-    state = cells.withColumn("factor", F.lit(1.0))
+        goal = g.select(F.col(dim).alias("_d"), F.when(
+            F.col("share").isNull(), F.col("have").cast("double")).otherwise(F.col("share") * (rest / (sums["listed"] or 1.0))).alias(f"_goal_{dim}"))
+        state = cut_lineage(state.join(goal, F.col(dim).eqNullSafe(F.col("_d"))).drop("_d"))
     for done in range(max_rounds):
-        off = F.lit(0.0)
-        for dim, goal in goals.items():
+        state = state.withColumn("_off", F.lit(0.0))
+        for dim in targets:
+            # written after each dimension: a plan reads its state twice, and would double with every dimension it holds
             marg = state.groupBy(F.col(dim).alias("_d")).agg(F.sum(F.col("tokens") * F.col("factor")).alias("_sum"))
-            scale = marg.join(goal, F.col("_d").eqNullSafe(F.col("_v"))).select(
-                "_d", F.when(F.col("_sum") > 0, F.col("_goal") / F.col("_sum")).otherwise(1.0).alias("_scale"))
-            state = (state.join(scale, F.col(dim).eqNullSafe(F.col("_d"))).drop("_d")
-                     .withColumn("factor", F.col("factor") * F.col("_scale"))
-                     .withColumn("_off", F.greatest(F.abs(F.col("_scale") - 1), F.col("_off") if "_off" in state.columns else off)).drop("_scale"))
-        state = cut_lineage(state)
-        worst = state.filter("tokens > 0").agg(F.max("_off")).first()[0]
+            scale = F.when(F.col("_sum") > 0, F.col(f"_goal_{dim}") / F.col("_sum")).otherwise(1.0)
+            state = cut_lineage(state.join(marg, F.col(dim).eqNullSafe(F.col("_d"))).withColumns(
+                {"factor": F.col("factor") * scale, "_off": F.greatest(F.abs(scale - 1), F.col("_off"))}).drop("_d", "_sum"))
+        met = state.filter((F.col("tokens") > 0) & (F.col("_off") > tolerance)).isEmpty()
         state = state.drop("_off")
-        if worst is None or worst <= tolerance:
+        if met:
             break
-    return state
+    return state.drop(*[f"_goal_{dim}" for dim in targets])
 
 
 def uniform(id_col: Column, seed: str = SEED) -> Column:

@@ -245,6 +245,24 @@ def test_most_lenient_cutoff_that_removes_as_much():
     assert list(pick_cutoffs(strict, 1, 0.05, 0.05, kinds).values()) == [1.0, 0.5, None, None]
 
 
+def test_mixing_rounds_have_small_plans(spark, monkeypatch):
+    """Each written step of the fit joins once: the driver's memory does not grow with what a plan repeats."""
+    from tagweave.llm import mixing
+    joins, cut = [], mixing.cut_lineage
+
+    def seen(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(mixing, "cut_lineage", seen)
+    rows = [(s, lang, t, n) for s, lang, t, n in (("a", "en", "x", 40), ("a", None, "y", 3), ("b", "en", "y", 7), (None, "de", "x", 9), ("b", "de", "x", 0))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {d: mixing.tempered(cells, d) for d in ("source", "lang", "topic")}
+    fitted = mixing.fit(cells, targets, max_rounds=2)
+    assert fitted.columns == ["source", "lang", "topic", "tokens", "factor"] and fitted.count() == 5
+    assert max(joins) == 1
+
+
 def test_mixing_meets_the_marginals(spark):
     rows = [(i, "w " * (1 + i % 7), ["s0", "s0", "s1", None][i % 4], ["en", "de", "fr"][i % 3], "t") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
