@@ -18,7 +18,6 @@ import json
 import re
 import zlib
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,14 +35,26 @@ ROWS = 256                     # rows of one matrix product
 _WORD = re.compile(r"\w+")
 
 
-@lru_cache(maxsize=1 << 16)
-def _crc(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+#: bytes below 128 that are in no word become blanks
+_BLANKED = bytes(b if b > 127 or chr(b) in "_" or chr(b).isalnum() else 32 for b in range(256))
+
+
+def _words(text: str) -> list[bytes]:
+    """The matches of ``_WORD`` as UTF-8; only tokens beyond ASCII go through the expression."""
+    tokens = text.encode("utf-8", "surrogatepass").translate(_BLANKED).split()
+    if text.isascii():
+        return tokens
+    found = [t for t in tokens if t.isascii()]
+    for t in tokens:
+        if not t.isascii():
+            found += [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(t.decode("utf-8", "surrogatepass"))]
+    return found
 
 
 def hashed(text: str | None, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values (Euclidean length 1) of a text's word counts; place ``dim`` is the constant."""
-    at = (np.array([_crc(w) for w in _WORD.findall((text or "").lower())], dtype=np.int64) % dim).astype(np.int32)
+    words = _words((text or "").lower())
+    at = (np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % dim).astype(np.int32)
     place, n = np.unique(at, return_counts=True)
     value = n / np.sqrt((n * n).sum()) if len(n) else n.astype(np.float64)
     return np.append(place, dim).astype(np.int32), np.append(value, 1.0)

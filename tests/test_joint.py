@@ -105,3 +105,26 @@ def test_rows_of_a_batch_without_python_lists():
         assert (dense_rows(place, value, at, to, 64) == dense(pairs[at:to], 64)).all()
     assert (dense_rows(place.slice(2), value.slice(2), 1, 3, 64) == dense(pairs[3:5], 64)).all()
     assert np.isclose(np.linalg.norm(hashed("a b b c", 64)[1][:-1]), 1)
+
+
+def test_only_tokens_beyond_ascii_are_searched(monkeypatch):
+    """Places and values as from the expression's matches; ASCII words are cut without it."""
+    import re
+    import zlib
+    blanks = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    texts = ["A b's b'S\u0130 x_1\x1cy\u00a0z\u2028\u00e9t\u00e9 " * 3, blanks, "", None, "\ud800a b-c-b", f"p{blanks}q{blanks}p-p"]
+    for text in texts:
+        at = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in re.findall(r"\w+", (text or "").lower())], dtype=np.int64) % 64
+        want, n = np.unique(at, return_counts=True)
+        place, value = J.hashed(text, 64)
+        assert place.tolist() == [*want, 64] and value.tolist() == [*(n / np.sqrt((n * n).sum()) if len(n) else []), 1.0]
+    seen = []
+
+    class Watched:
+        def findall(self, text):
+            seen.append(text)
+            return re.findall(r"\w+", text)
+
+    monkeypatch.setattr(J, "_WORD", Watched())
+    J.hashed("one two-three " * 50 + "\u00e9t\u00e9.", 64)
+    assert seen == ["\u00e9t\u00e9"]
