@@ -14,7 +14,8 @@ together:
    step (NumPy), a long one with a priority queue.
 
 Decoding maps ids to token strings joined by one space (the vocabulary
-names no decoder).  Nothing is shuffled; a task's word cache is bounded.
+names no decoder).  Nothing is shuffled; a task's word cache is bounded and holds
+numbers only: the strings of both columns are joined by Arrow, a slice at a time.
 
 Defined cases: null or empty text has no tokens and decodes to the empty
 text; special-token strings in a text become their ids; a null ``doc_id`` and
@@ -26,16 +27,21 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .common import slices, with_column_schema
 
 CACHE_WORDS = 1 << 18
-SLICE, SLICE_CHARS = 1 << 20, 1_000_000   # bytes of a slice, characters learned at once: they bound a worker's memory
+SLICE, SLICE_CHARS = 1 << 20, 300_000   # bytes of a slice, characters learned at once: they bound a worker's memory
+MERGE_CELLS = 1 << 17                   # bytes of words merged in step, with their padding
 SHORT = 48
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 #: letters and numbers of Latin-1, lower case (texts within Latin-1 are in NFC already)
@@ -91,8 +97,13 @@ class WordBpe:
                 if len(raw) > 1 and self.merge(raw, last) != [i]:
                     del table[raw]
         self.longest = max(map(len, [*self.mid, *self.end]))
-        self.cache: dict[str, tuple[int, str, str]] = {}
-        self.apart: dict[int, bool] = {}
+        self.id_text, self.name_text = pa.array([str(i) for i in range(size)]), pa.array([self.names.get(i, "") for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: a word's number, and for all words their tokens and where they end."""
+        self.cache: dict[str, int] = {}
+        self.tokens, self.ends = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def atoms(self, raw: bytes, last: bool = True) -> list[int]:
         out = [self.atom_mid[b] for b in raw]
@@ -207,8 +218,8 @@ class WordBpe:
         size = np.array([len(words[i]) for i in fail])
         for lo, hi in ((0, 8), (8, 16), (16, SHORT)):
             some = fail[(size > lo) & (size <= hi)] if len(fail) else fail
-            for at in range(0, len(some), 50_000):
-                part = some[at:at + 50_000]
+            for at in range(0, len(some), MERGE_CELLS // hi):
+                part = some[at:at + MERGE_CELLS // hi]
                 for i, t in zip(part.tolist(), self.merge_all([words[i] for i in part])):
                     got[i] = t
         for i in fail[size > SHORT] if len(fail) else []:
@@ -250,38 +261,40 @@ class WordBpe:
     def learn(self, words: set[str]) -> None:
         """Put the encodings of ``words`` into the cache."""
         plain = [w for w in words if w not in self.special]
-        got = [*zip(plain, self.encode_words([w.encode() for w in plain])),
-               *((w, [self.special[w]]) for w in words if w in self.special)]
-        for w, ids in got:
-            self.cache[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-
-    def decode(self, ids) -> str:
-        return " ".join([self.names[i] for i in ids])
+        special = [w for w in words if w in self.special]
+        got = [*self.encode_words([w.encode() for w in plain]), *([self.special[w]] for w in special)]
+        self.cache.update(zip(chain(plain, special), range(len(self.cache), len(self.cache) + len(got))))
+        n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        self.tokens = np.append(self.tokens, np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(n.sum())))
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(n))
 
-    def encode_texts(self, texts) -> tuple[list[int], list[str], list[str]]:
+    def encode_texts(self, texts) -> tuple[pa.Array, pa.Array, pa.Array]:
         """Per text: number of tokens, decimal ids joined by a space, decoded text.
 
         Distinct words are learned for several texts at once (``SLICE_CHARS``).
         """
-        n, ids, back = [], [], []
+        parts: list[tuple[pa.Array, pa.Array, pa.Array]] = []
         held: list[list[str]] = []
         size = 0
 
         def flush() -> None:
-            cache = self.cache
             words = set().union(*held)
-            new = words.difference(cache)
+            new = words.difference(self.cache)
             if new:
-                if len(cache) + len(new) > CACHE_WORDS:   # then words known now may go: learn all of them anew
-                    cache.clear()
+                if len(self.cache) + len(new) > CACHE_WORDS:   # then words known now may go: learn all of them anew
+                    self.forget()
                     new = words
                 self.learn(new)
-            for ws in held:
-                got = [cache[w] for w in ws]
-                n.append(sum([g[0] for g in got]))
-                ids.append(" ".join([g[1] for g in got]))
-                back.append(" ".join([g[2] for g in got]))
+            many = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+            word = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(held)), dtype=np.int64, count=int(many.sum()))
             held.clear()
+            first = self.ends[word]
+            n = self.ends[word + 1] - first
+            end = np.append(0, np.cumsum(n))                   # of each word's tokens among all
+            ids = pa.array(self.tokens[np.arange(end[-1]) + np.repeat(first - end[:-1], n)])
+            bounds = end[np.append(0, np.cumsum(many))]        # of each text's tokens
+            of_text = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), t.take(ids)) for t in (self.id_text, self.name_text)]
+            parts.append((pa.array(np.diff(bounds)), *(pc.binary_join(t, " ") for t in of_text)))
 
         for t in texts:
             held.append(self.split(t or ""))
@@ -290,7 +303,7 @@ class WordBpe:
                 flush()
                 size = 0
         flush()
-        return n, ids, back
+        return tuple(pa.concat_arrays(x) for x in zip(*parts))
 
 
 def word_bpe_path() -> str:
@@ -298,21 +311,24 @@ def word_bpe_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", before: tuple[Callable, StructType] | None = None) -> DataFrame:
     """All columns of ``docs`` plus ``_bpe`` (struct: ``n_tokens``, ``ids`` as decimal
-    numbers joined by a space, ``decoded``)."""
+    numbers joined by a space, ``decoded``).
+
+    ``before``: a step over Arrow batches and its schema, run first in the same worker
+    (as a ``mapInArrow`` of its own it would hold a second worker a core).
+    """
     with open(path or word_bpe_path(), encoding="utf-8") as f:
         codec = docs.sparkSession.sparkContext.broadcast(WordBpe(f.read()))
 
     kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.string())])
-    at = docs.columns.index(text_col)
+    step, schema = before or (iter, docs.schema)
+    at = schema.names.index(text_col)
 
     def run(batches):
-        for b in slices(batches, SLICE):
-            n, ids, back = codec.value.encode_texts(b.column(at).to_pylist())
-            new = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()),
-                                              pa.array(back, pa.string())], fields=list(kind))
+        for b in slices(step(batches), SLICE):
+            new = pa.StructArray.from_arrays(codec.value.encode_texts(b.column(at).to_pylist()), fields=list(kind))
             yield pa.RecordBatch.from_arrays([*b.columns, new], schema=b.schema.append(pa.field("_bpe", kind)))
 
     return docs.mapInArrow(run, with_column_schema(
-        docs, "_bpe", "struct<n_tokens:long,ids:string,decoded:string>"))
+        schema, "_bpe", "struct<n_tokens:long,ids:string,decoded:string>"))

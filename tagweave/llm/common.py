@@ -34,9 +34,9 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             yield b.slice(at, step)
 
 
-def with_column_schema(df: DataFrame, name: str, ddl: str) -> StructType:
-    """Schema of ``df`` with one more column."""
-    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {ddl}").fields])
+def with_column_schema(df: DataFrame | StructType, name: str, ddl: str) -> StructType:
+    """Schema of ``df`` (or the schema itself) with one more column."""
+    return StructType([*(df if isinstance(df, StructType) else df.schema).fields, *StructType.fromDDL(f"`{name}` {ddl}").fields])
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str,

@@ -30,9 +30,12 @@ marginals keep factor 1; empty tables give empty results; extra columns pass thr
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut_lineage, slices, with_column_schema
 
@@ -128,6 +131,11 @@ def counted_runs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A run that a slice border cuts gives two rows: the sum of ``copies`` is always the number of rows.
     """
+    return docs.mapInArrow(*run_counter(docs, id_col))
+
+
+def run_counter(docs: DataFrame, id_col: str = "doc_id") -> tuple[Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], StructType]:
+    """The step of ``counted_runs`` over Arrow batches and its schema."""
     at = docs.columns.index(id_col)
 
     def run(batches):
@@ -138,4 +146,4 @@ def counted_runs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b if len(first) == b.num_rows else b.take(pa.array(first))).columns, pa.array(copies, pa.int64())],
                                              schema=b.schema.append(pa.field("copies", pa.int64())))
 
-    return docs.mapInArrow(run, with_column_schema(docs, "copies", "long"))
+    return run, with_column_schema(docs, "copies", "long")

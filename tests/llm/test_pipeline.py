@@ -16,6 +16,12 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def test_encode_holds_one_worker_a_core(spark):
+    """Runs are counted and encoded in one Python step: chained ones hold a worker each in every core."""
+    out = dict(P.STAGES)["encode"](spark, read(spark, SF, "documents", "*"), SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_stages_by_brute_force(spark):
     from tokenizers import Tokenizer
     docs = read(spark, SF, "documents", "*")

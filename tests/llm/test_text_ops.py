@@ -163,6 +163,20 @@ def test_bpe_verification_is_exact():
     assert codec.encode_words(some) == [codec.merge(w) for w in some]
 
 
+def test_bpe_cache_holds_numbers_only():
+    """A word is kept as its number and its tokens; forgotten words are learned anew."""
+    with open(word_bpe_path(), encoding="utf-8") as f:
+        codec = WordBpe(f.read())
+    texts = ["the cat, the straße", None, "", "cat <|endoftext|> 12", "cat"]
+    n, ids, back = (x.to_pylist() for x in codec.encode_texts(texts))
+    assert all(isinstance(v, int) for v in codec.cache.values()) and sorted(codec.cache.values()) == list(range(len(codec.cache)))
+    assert len(codec.ends) == len(codec.cache) + 1 and codec.ends[-1] == len(codec.tokens)
+    codec.forget()
+    for t, k, i, b in zip(texts, n, ids, back):
+        alone = [x.to_pylist()[0] for x in codec.encode_texts([t])]
+        assert alone == [k, i, b] and b == " ".join(codec.names[int(x)] for x in i.split()) and k == len(i.split())
+
+
 def test_licenses(spark, docs):
     for r in scan_licenses(docs).collect():
         low = "".join(c.lower() if c.isascii() else c for c in r["text"] or "")
