@@ -32,32 +32,89 @@ from .scoring import Scorer, ScorerFactory
 MAX_WEIGHTS = 1 << 25          # places times labels: 256 MB of doubles on the driver
 BLOCK = 1 << 18                # weights of one block of the gradient
 ROWS = 256                     # rows of one matrix product
+SHORT = 64                     # bytes of a word hashed together with others (255 at most)
 _WORD = re.compile(r"\w+")
 
 
-#: bytes below 128 that are in no word become blanks
-_BLANKED = bytes(b if b > 127 or chr(b) in "_" or chr(b).isalnum() else 32 for b in range(256))
+#: bytes that are in a word or beyond ASCII
+_INSIDE = np.array([b > 127 or chr(b) == "_" or chr(b).isalnum() for b in range(256)])
+_NOT_BLANK = np.arange(256) != 32
 
 
-def _words(text: str) -> list[bytes]:
-    """The matches of ``_WORD`` as UTF-8; only tokens beyond ASCII go through the expression."""
-    tokens = text.encode("utf-8", "surrogatepass").translate(_BLANKED).split()
-    if text.isascii():
-        return tokens
-    found = [t for t in tokens if t.isascii()]
-    for t in tokens:
-        if not t.isascii():
-            found += [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(t.decode("utf-8", "surrogatepass"))]
-    return found
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, np.uint32(0xEDB88320) ^ (t >> np.uint32(1)), t >> np.uint32(1))
+    return t
+
+
+_CRC = _crc_table()
+
+
+def crc32s(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``zlib.crc32`` of many ranges of ``data`` (bytes), a byte of all of them at a time."""
+    order = np.argsort(size.max(initial=0) - size, kind="stable")
+    at = first[order]
+    crc = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+    longer = len(at) - np.cumsum(np.bincount(size))              # how many ranges have more than so many bytes
+    for j, n in enumerate(longer[longer > 0].tolist()):
+        now = crc[:n]
+        crc[:n] = _CRC[(now ^ data[at[:n] + j]) & np.uint32(255)] ^ (now >> np.uint32(8))
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    return out
+
+
+def _tokens(raw: list[bytes], inside: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts joined by blanks, and of each run of bytes that are ``inside`` its start, its size and its text."""
+    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+    data = b" ".join([b"", *raw, b""])
+    edge = np.flatnonzero(np.diff(inside[np.frombuffer(data, dtype=np.uint8)])) + 1
+    return data, edge[::2], edge[1::2] - edge[::2], np.searchsorted(ends, edge[::2], "right")
+
+
+def _keys(data: bytes, first: np.ndarray, size: np.ndarray, row: np.ndarray, dim: int) -> np.ndarray:
+    """Row and place of each word as one number."""
+    short, crc = size <= SHORT, np.empty(len(first), dtype=np.int64)
+    crc[short] = crc32s(np.frombuffer(data, dtype=np.uint8), first[short], size[short].astype(np.uint8))
+    for i in np.flatnonzero(~short).tolist():      # one by one: crc32s would take a step for each of their bytes
+        crc[i] = zlib.crc32(data[first[i]:first[i] + size[i]])
+    return row * dim + crc % dim
+
+
+def counted(texts, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the number of its places; all texts' places and word counts, one text after the other, places rising.
+
+    Words are the matches of ``_WORD`` in the lower-case text; only tokens beyond ASCII go through the expression.
+    """
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    data, first, size, row = _tokens(raw, _INSIDE)
+    plain = np.ones(len(first), dtype=bool)
+    plain[np.searchsorted(first, np.flatnonzero(np.frombuffer(data, dtype=np.uint8) > 127), "right") - 1] = False
+    rest, found = np.flatnonzero(~plain), []
+    cut = np.searchsorted(row[rest], np.arange(len(raw) + 1)).tolist()
+    starts, ends = first[rest].tolist(), (first + size)[rest].tolist()
+    for i, j in zip(cut, cut[1:]):
+        tokens = b" ".join([data[x:y] for x, y in zip(starts[i:j], ends[i:j])]).decode("utf-8", "surrogatepass")
+        found.append(" ".join(_WORD.findall(tokens)).encode("utf-8", "surrogatepass") if tokens else b"")
+    keys = np.append(_keys(data, first[plain], size[plain], row[plain], dim), _keys(*_tokens(found, _NOT_BLANK), dim))
+    key, n = np.unique(keys, return_counts=True)
+    return np.bincount(key // dim, minlength=len(raw)), (key % dim).astype(np.int32), n.astype(np.int32)
+
+
+def features(many: np.ndarray, place: np.ndarray, n: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, places and values of the rows of ``counted``: counts of Euclidean length 1, and the constant in place ``dim``."""
+    row = np.repeat(np.arange(len(many)), many)
+    squares = np.zeros(len(many), dtype=np.int64)
+    np.add.at(squares, row, n.astype(np.int64) ** 2)
+    last = np.cumsum(many)                                       # the constant comes after a row's places
+    return (np.append(0, np.cumsum(many + 1)), np.insert(place.astype(np.int32), last, dim),
+            np.insert(n / np.sqrt(squares)[row], last, 1.0))
 
 
 def hashed(text: str | None, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and values (Euclidean length 1) of a text's word counts; place ``dim`` is the constant."""
-    words = _words((text or "").lower())
-    at = (np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % dim).astype(np.int32)
-    place, n = np.unique(at, return_counts=True)
-    value = n / np.sqrt((n * n).sum()) if len(n) else n.astype(np.float64)
-    return np.append(place, dim).astype(np.int32), np.append(value, 1.0)
+    return features(*counted([text], dim), dim)[1:]
 
 
 def dense(pairs: list, dim: int) -> np.ndarray:
@@ -71,9 +128,14 @@ def dense_rows(place: pa.Array, value: pa.Array, at: int, to: int, dim: int) ->
     """``dense`` of the rows ``at`` to ``to`` of two list columns (no null lists), without a Python object a place."""
     starts = place.offsets.to_numpy()[at:to + 1]
     first = value.offsets.to_numpy()[at]
+    return filled(starts - starts[0], place.values.to_numpy()[starts[0]:starts[-1]],
+                  value.values.to_numpy()[first:first + starts[-1] - starts[0]], dim)
+
+
+def filled(starts: np.ndarray, place: np.ndarray, value: np.ndarray, dim: int) -> np.ndarray:
+    """``dense`` of rows that begin at ``starts`` (one more at the end) of ``place`` and ``value``."""
     x = np.zeros((len(starts) - 1, dim + 1))
-    rows = np.repeat(np.arange(len(x)), np.diff(starts))
-    x[rows, place.values.to_numpy()[starts[0]:starts[-1]]] = value.values.to_numpy()[first:first + len(rows)]
+    x[np.repeat(np.arange(len(x)), np.diff(starts)), place] = value
     return x
 
 
@@ -85,7 +147,7 @@ class JointModel:
     history: list[dict] = field(default_factory=list)
 
     def logits(self, texts) -> np.ndarray:
-        out = [dense([hashed(t, self.dim) for t in texts[at:at + ROWS]], self.dim) @ self.weights for at in range(0, len(texts), ROWS)]
+        out = [filled(*features(*counted(texts[at:at + ROWS], self.dim), self.dim), self.dim) @ self.weights for at in range(0, len(texts), ROWS)]
         return np.concatenate(out) if out else np.zeros((0, len(self.labels)))
 
     def save(self, spark: SparkSession, path: str, version: str) -> str:
@@ -119,20 +181,23 @@ class JointModel:
 
 
 def _features(df: DataFrame, id_col: str, text_col: str, labels_col: str, labels: list[str], dim: int, hold_share: float) -> DataFrame:
-    """Written table: held (by a hash of the id), place, value, y (places of the row's labels)."""
+    """Written table, a row for up to ``ROWS`` rows: held (by a hash of the id), many, place, n (as of ``counted``) and
+    y (number of the row * labels + place of a label), each as the bytes of an array, which every pass takes as they are."""
     number = F.map_from_arrays(F.lit(labels), F.lit(list(range(len(labels))))) if labels else F.create_map().cast("map<string,int>")
     known = F.filter(F.transform(F.array_distinct(F.coalesce(labels_col, F.array().cast("array<string>"))), lambda x: number[x]), lambda i: i.isNotNull())
     held = F.pmod(F.xxhash64(F.lit("hold"), F.col(id_col)), F.lit(10 ** 6)) < F.lit(round(hold_share * 10 ** 6))
     src = df.select(held.alias("held"), F.col(text_col).alias("text"), known.alias("y"))
 
     def run(batches):
-        for b in batches:
-            got = [hashed(t, dim) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([p for p, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), b.column(2)],
-                names=["held", "place", "value", "y"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                y = [i * len(labels) + k for i, ks in enumerate(b.column(2).to_pylist()) for k in ks]
+                arrays = [b.column(0).to_numpy(zero_copy_only=False).astype(np.bool_), *(x.astype(np.int32) for x in counted(b.column(1).to_pylist(), dim)),
+                          np.array(y, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=["held", "many", "place", "n", "y"])
 
-    return cut_lineage(src.mapInArrow(run, "held boolean, place array<int>, value array<double>, y array<int>"))
+    return cut_lineage(src.mapInArrow(run, "held binary, many binary, place binary, n binary, y binary"))
 
 
 def _pass(feats: DataFrame, model: JointModel, weight: np.ndarray) -> tuple[np.ndarray, float, float, int, int, np.ndarray]:
@@ -144,18 +209,14 @@ def _pass(feats: DataFrame, model: JointModel, weight: np.ndarray) -> tuple[np.n
         w, pos = shared.value
         grad, loss, rows, counts = np.zeros_like(w), np.zeros(2), np.zeros(2), np.zeros((3, n_labels))
         for b in batches:
-            held = b.column(0).to_numpy(zero_copy_only=False)
-            ys = b.column(3).to_pylist()
-            for at in range(0, len(held), ROWS):
-                part = slice(at, at + ROWS)
-                x = dense_rows(b.column(1), b.column(2), at, min(at + ROWS, len(held)), dim)
+            for block in zip(*(c.to_pylist() for c in b.columns)):
+                h, many, place, n, places = (np.frombuffer(x, kind) for x, kind in zip(block, (np.bool_, np.int32, np.int32, np.int32, np.int64)))
+                x = filled(*features(many, place, n, dim), dim)
                 y = np.zeros((len(x), n_labels))
-                for i, ls in enumerate(ys[part]):
-                    y[i, ls] = 1
+                y.ravel()[places] = 1
                 z = x @ w
                 cost = np.where(y > 0, pos, 1.0)
                 each = (cost * (np.logaddexp(0, z) - y * z)).sum(axis=1)
-                h = held[part]
                 for k, rows_of in enumerate((~h, h)):
                     loss[k] += each[rows_of].sum()
                     rows[k] += rows_of.sum()

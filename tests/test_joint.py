@@ -107,6 +107,34 @@ def test_rows_of_a_batch_without_python_lists():
     assert np.isclose(np.linalg.norm(hashed("a b b c", 64)[1][:-1]), 1)
 
 
+def test_words_of_many_texts_are_hashed_together(monkeypatch):
+    """One call hashes the short words of all texts; rows equal those of the texts alone."""
+    import re
+    import zlib
+    calls = []
+    together = J.crc32s
+    monkeypatch.setattr(J, "crc32s", lambda *a: calls.append(len(a[1])) or together(*a))
+    texts = ["a b b c", None, "", "x" * 64 + " " + "x" * 65 + " \u00e9-a", "-", "\u65e5\u672c\u8a9e b" + "y" * 300 + "\u00e9", " b "]
+    many, place, n = J.counted(texts, 1 << 16)
+    assert len(calls) == 2 and sum(calls) == 9       # ASCII words, words beyond ASCII; the two long ones alone
+    ends = np.cumsum(many)
+    for t, a, b in zip(texts, [0, *ends], ends):
+        want, k = np.unique([zlib.crc32(w.encode()) % (1 << 16) for w in re.findall(r"\w+", (t or "").lower())], return_counts=True)
+        assert place[a:b].tolist() == want.tolist() and n[a:b].tolist() == k.tolist()
+    words = [b"", b"a", b"abc" * 20, b"123456789"]
+    data, size = np.frombuffer(b"".join(words), dtype=np.uint8), np.array([len(w) for w in words])
+    assert together(data, np.cumsum(size) - size, size).tolist() == [zlib.crc32(w) for w in words]
+
+
+def test_a_pass_reads_a_row_for_many_rows(spark):
+    """The written features hold the bytes of arrays, a row for up to ``ROWS`` rows, not a value for each place."""
+    df, _ = data(spark, 600, 2)
+    feats = J._features(df.coalesce(1), "row_id", "text", "tags", ["t0", "t1"], 64, 0.5)
+    assert {t for _, t in feats.dtypes} == {"binary"} and feats.count() == -(-603 // J.ROWS)
+    *_, n, held, counts = J._pass(feats, J.JointModel(["t0", "t1"], 64, np.zeros((65, 2))), np.ones(2))
+    assert n + held == 603 and n and held and counts.shape == (3, 2)
+
+
 def test_only_tokens_beyond_ascii_are_searched(monkeypatch):
     """Places and values as from the expression's matches; ASCII words are cut without it."""
     import re
