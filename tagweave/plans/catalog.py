@@ -508,9 +508,10 @@ def _distinct_texts(spark, sf) -> DataFrame:
 
 
 def q_minhash_signature(spark, sf):
+    """Every minimum of every distinct text's signature."""
     s = ND.signatures(_distinct_texts(spark, sf), "doc_id", "text")
     return s.select(F.col("id").alias("doc_id"), F.size("sig").alias("n_minima"),
-                    F.array_min("sig").alias("min_hash"))
+                    F.array_min("sig").alias("min_hash"), _j(F.col("sig").cast("array<string>")).alias("signature"))
 
 
 def q_near_dup_pairs(spark, sf):

@@ -546,3 +546,20 @@ def test_line_tags_shuffle_numbers_only(spark, tmp_path):
     collected = grouped[grouped.index("Aggregate"):]
     below = collected[collected.index("Project"):]
     assert "concat" not in below and "element_at" not in below
+
+
+def test_signature_query_returns_every_minimum(spark, tmp_path):
+    """All 126 minima of every distinct text, against the maps applied to all its shingles."""
+    import numpy as np
+
+    from tagweave.plans.catalog import q_minhash_signature
+    texts = ["Some text of a few words", "some TEXT of a few words", "short", "", "a" * 50 + "b", "another text " * 400]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    a, b = ND._coefficients(126, ND.MINHASH_SEED)
+    want = {}
+    for i, t in enumerate(texts[1:], 1):
+        with np.errstate(over="ignore"):
+            low = (ND._char_shingles(t.lower(), 9)[:, None] * a + b).min(axis=0).view(np.int64)
+        want[i] = "|".join(map(str, low))
+    got = {r["doc_id"]: r["signature"] for r in q_minhash_signature(spark, str(tmp_path)).collect()}
+    assert got == want
