@@ -64,3 +64,37 @@ def test_texts_with_a_common_header_only_are_not_indexed_by_it(spark):
     low = SJ.prefix_index(sets, 0.15)
     worst = low.join(sets.select("id", "sh"), "id").groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     assert worst.filter("k > n - ceil(0.15 * n - 1e-9) + 1").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_slices_levels_and_passes_lose_no_pair(spark, monkeypatch, threshold):
+    """Many slices of small levels, dealt in several passes and verified in many cells, give the pairs of one slice."""
+    monkeypatch.setattr(SJ, "LEVELS", (0, 30, 90, 200))
+    monkeypatch.setattr(SJ, "CELL_TOKENS", 1500)
+    monkeypatch.setattr(SJ, "CELL_PAIRS", 5)
+    test_every_pair_and_no_other(spark, threshold)
+
+
+def test_slice_pairs_of_equal_tokens():
+    """Shingles of a set that have the same token are granted to the overlap: no pair is lost by them."""
+    import numpy as np
+    k = np.array([5, 5, 6])
+    tokens = np.array([1, 2, 3, 3, 4] + [1, 2, 3, 3, 9] + [11, 12, 13, 14, 15, 16], dtype=np.uint32)
+    got = [(int(x), int(y)) for a, b in SJ._slice_pairs(k, k, tokens, 0.6) for x, y in zip(a, b)]
+    assert got == [(0, 1)]          # 3 tokens and one that may be a second common shingle: 4 of 6
+
+
+def test_pairs_write_less_than_the_texts_shingles(spark):
+    """Neither sets nor shingle counts nor an index are written: what is written stays in proportion to the texts."""
+    import os
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=4000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def written():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+
+    before = written()
+    assert SJ.similar_pairs(df, "id", "t").count() == 0
+    assert written() - before < 2 * sum(map(len, texts))        # before: 12 times the texts
