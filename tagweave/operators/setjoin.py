@@ -39,7 +39,7 @@ PASSES = 4                     # each shuffles a quarter of the shingles, 4 byte
 MEETS = 1 << 21                # meetings of two prefix entries at once
 LOOKED_UP = 1 << 16            # shingles of pairs counted at once: they stay in the cache
 FEW_IDS = 10_000               # of copies that are left out of each pass by a broadcast
-CELL_PAIRS = 20_000            # pairs verified in one cell
+CELL_PAIRS = 2_000             # pairs verified in one cell
 
 
 def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:

@@ -563,3 +563,60 @@ def test_signature_query_returns_every_minimum(spark, tmp_path):
         want[i] = "|".join(map(str, low))
     got = {r["doc_id"]: r["signature"] for r in q_minhash_signature(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_large_sets_are_signed_by_bins(spark, monkeypatch):
+    """Equal minima follow the Jaccard; sets on both sides of the border meet in a band; the walk is the same with bins for
+    all, for some and for no sets."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    shares, bounds = [], ND._bin_bounds(126)
+    for _ in range(60):
+        x, y = (ND._bin_minima(ND._permuted(np.concatenate([common, rng.integers(0, 1 << 63, 1000).astype(np.uint64)]), s), bounds)
+                for s in (5, 5))
+        common = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+        shares.append((x == y).mean())
+    assert abs(np.mean(shares) - 0.6) < 0.02          # 3000 of 5000
+    h = np.sort(rng.integers(0, 1 << 63, 700).astype(np.uint64))
+    x = ND._permuted(h, 9)
+    assert (ND._bin_minima(x, bounds) == [min((v for v in x.tolist() if v * 126 >> 64 == i), default=(1 << 64) - 1) for i in range(126)]).all()
+
+    rnd = random.Random(21)
+    texts = []
+    for n in (60, 80, 90, 100, 120, 200, 400):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+        for v in range(5):
+            t = list(base)
+            for _ in range(v * n // 25):
+                t[rnd.randrange(n)] = f"w{rnd.randrange(3000)}"
+            texts.append(" ".join(t[:n - v * n // 20]))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sets = [set(ND._char_shingles(t, 9).tolist()) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+             if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])]
+    want = _sequential_walk(list(range(len(texts))), pairs)
+    for least in (0, 512, 10 ** 9):
+        monkeypatch.setattr(ND, "BINS_FROM", least)
+        assert {r["id"] for r in ND.near_dup_keep(df, "id", "t").collect()} == want, least
+        sig = ND.bucket_signatures(df, "id", "t").select("id", "bins", F.explode("keys").alias("key"))
+        met = {(r["a"], r["b"]) for r in sig.select(F.col("id").alias("a"), "key").join(
+            sig.select(F.col("id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct().collect()}
+        assert set(pairs) <= met, least
+    assert 15 < len(pairs) and len(want) < len(texts) and max(map(len, sets)) > 512 > min(map(len, sets))
+
+
+def test_near_dup_keep_computes_its_input_once(spark):
+    """The input is read for signatures, pairs, leaders and the result: it is written once, not computed for each."""
+    from pyspark.sql.types import StringType
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(t):
+        seen.add(1)
+        return t
+
+    texts = [f"text {i % 20} " * 20 + f"end {i}" for i in range(60)]
+    df = (spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4)
+          .withColumn("t", F.udf(count, StringType()).asNondeterministic()("t")))
+    kept = ND.near_dup_keep(df, "id", "t", hot_bucket=2).collect()
+    assert len(kept) < 60 and seen.value == 60
