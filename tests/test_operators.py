@@ -620,3 +620,14 @@ def test_near_dup_keep_computes_its_input_once(spark):
           .withColumn("t", F.udf(count, StringType()).asNondeterministic()("t")))
     kept = ND.near_dup_keep(df, "id", "t", hot_bucket=2).collect()
     assert len(kept) < 60 and seen.value == 60
+
+
+def test_dedup_full_writes_its_rows_once_after_the_exact_step(spark, monkeypatch):
+    """Exact copies go by the last id, then the walk; the rows between the steps are written once."""
+    texts = ["A long enough text of words " * 3, "a long enough TEXT of words " * 3, "a long enough text of words " * 3 + "x", None, "", "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    wide = []
+    real = ND.cut_lineage
+    monkeypatch.setattr(ND, "cut_lineage", lambda d: wide.append("t" in d.columns) or real(d))
+    got = {r["id"] for r in ND.dedup_full(df, "id", "t", ("id",)).collect()}
+    assert got == {1, 3, 5} and sum(wide) == 1
